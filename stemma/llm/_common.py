@@ -53,3 +53,12 @@ def let(value: Column, body) -> Column:
 def n_words(text: Column) -> Column:
     """Words in text, null as 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def bounded_batches(spark: SparkSession, mb: int = 4) -> None:
+    """Bound the bytes of a batch that goes to Python, where the session has that setting, so that long
+    texts don't add up; a smaller setting stays."""
+    key, rows = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, f"{mb}m")
+    if int(spark.conf.get(rows)) <= 0 or int(spark.conf.get(rows)) > 2000:
+        spark.conf.set(rows, 2000)
