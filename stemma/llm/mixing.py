@@ -72,7 +72,7 @@ def _prefix(df: DataFrame, group: str, bucket: str, order: list, value: Column,
     sums = df.groupBy(group, bucket).agg(F.sum(value).alias("_sum"))
     sums = sums.select(group, bucket, F.coalesce(F.sum("_sum").over(outer), F.lit(0)).alias("_before"))
     df = df.withColumn("_inner", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    return df.join(sums, [group, bucket]).withColumn(name, (F.col("_before") + F.col("_inner")).cast("long")).drop("_before", "_inner", bucket)
+    return df.join(sums.hint("merge"), [group, bucket]).withColumn(name, (F.col("_before") + F.col("_inner")).cast("long")).drop("_before", "_inner", bucket)
 
 
 def schedule(sources: DataFrame, block: int, bits: int, n_blocks: int, bucket_bits: int) -> DataFrame:
@@ -108,7 +108,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs:
     n_blocks = sources.agg(F.sum("n_slots")).first()[0] or 0
     bits = max(1, (2 * n_blocks).bit_length())
     bucket_bits = max(1, n.bit_length() // 2)
-    slots = schedule(sources, block, bits, n_blocks, bucket_bits)
+    slots = shared_table(schedule(sources, block, bits, n_blocks, bucket_bits), "mix-slots")  # as a table its size is known
 
     key = _shuffle_key(F.col("doc_id"))
     found = sizes.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.doc_id", "d.source", "d.size", "s.src", "s.source_size", "s.target", "s.cap_words", key.alias("_key"))
@@ -124,7 +124,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs:
     taken = pieces.groupBy("src", "doc_id", "size", "start").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.min("slot").alias("first_slot"))
     taken = taken.withColumnsRenamed({"doc_id": "_id", "size": "_size", "start": "_start", "src": "_src"})
     same = (F.col("src") == F.col("_src")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size")) & (F.col("start") == F.col("_start"))
-    out = placed.join(taken, same, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
+    out = placed.join(taken.hint("merge"), same, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
     return pieces.drop("src", "size", "start"), out
 
 
