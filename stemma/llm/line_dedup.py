@@ -27,7 +27,7 @@ WINDOW = 3
 
 
 def _windows(docs: DataFrame, width: int) -> DataFrame:
-    """_id, _text (digest), pos, h1, h2 for each window."""
+    """__line_id, __line_text (digest), pos, h1, h2 for each window."""
     lines = F.split("text", "\n", -1)
 
     def of(ls):
@@ -36,34 +36,34 @@ def _windows(docs: DataFrame, width: int) -> DataFrame:
         hashed = F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(*part(i)).alias("h1"), F.xxhash64(F.lit(7), *part(i)[::-1]).alias("h2"), F.concat(*part(i)).rlike(r"\S").alias("full")))
         return F.filter(hashed, lambda w: w["full"])
 
-    found = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), F.explode(let(lines, of)).alias("w"))
-    return found.select("_id", "_text", "w.pos", "w.h1", "w.h2")
+    found = docs.select(F.col("doc_id").alias("__line_id"), F.xxhash64("text").alias("__line_text"), F.explode(let(lines, of)).alias("w"))
+    return found.select("__line_id", "__line_text", "w.pos", "w.h1", "w.h2")
 
 
 def covered_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """_id, _text, _covered: the sorted line numbers that later occurrences of repeated windows cover."""
+    """__line_id, __line_text, __line_covered: the sorted line numbers that later occurrences of repeated windows cover."""
     windows = _windows(docs, width)
-    place = F.struct("_id", "_text", "pos")
+    place = F.struct("__line_id", "__line_text", "pos")
     repeated = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = windows.join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
-    starts = later.groupBy("_id", "_text").agg(F.collect_set("pos").alias("starts"))
+    starts = later.groupBy("__line_id", "__line_text").agg(F.collect_set("pos").alias("starts"))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.array(*[s + k for k in range(width)])))))
-    return starts.select("_id", "_text", covered.alias("_covered"))
+    return starts.select("__line_id", "__line_text", covered.alias("__line_covered"))
 
 
 def line_dedup(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """docs with text less its covered lines, and n_lines, n_removed."""
     covered = covered_lines(docs, width)
-    out = docs.withColumn("_h", F.xxhash64("text")).join(covered, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_text")), "left")
+    out = docs.withColumn("__line_digest", F.xxhash64("text")).join(covered, F.col("doc_id").eqNullSafe(F.col("__line_id")) & (F.col("__line_digest") == F.col("__line_text")), "left")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
     left = let(
         F.split("text", "\n", -1),
-        lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("_covered")), lambda i: F.get(ls, i)), "\n"),
+        lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__line_covered")), lambda i: F.get(ls, i)), "\n"),
     )
-    gone = F.when(F.col("_covered").isNull(), 0).otherwise(F.size("_covered"))
+    gone = F.when(F.col("__line_covered").isNull(), 0).otherwise(F.size("__line_covered"))
     out = out.withColumn("n_lines", n.cast("long")).withColumn("n_removed", gone.cast("long"))
-    out = out.withColumn("text", F.when(F.col("_covered").isNull(), F.col("text")).otherwise(left))
-    return out.drop("_h", "_id", "_text", "_covered")
+    out = out.withColumn("text", F.when(F.col("__line_covered").isNull(), F.col("text")).otherwise(left))
+    return out.drop("__line_digest", "__line_id", "__line_text", "__line_covered")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
