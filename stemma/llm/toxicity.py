@@ -36,7 +36,7 @@ from ._common import bounded_batches, read
 from .language_id import held_out
 from .token_count import classes
 
-SAMPLE = 3000
+SAMPLE = 2000
 TERMS = 120
 FUZZY = 5
 WINDOW = 6
@@ -180,14 +180,18 @@ def learn_terms(docs: list[tuple[list[str], int]]) -> tuple[dict[str, float], di
     """
     total = Counter(y for _, y in docs)
     forms = lambda w: [w, *(w[:n] + "*" for n in BEGINNINGS if len(w) > n)]
-    seen: dict[str, list[int]] = {}
-    for ws, y in docs:
-        for t in {f for w in set(ws) for f in forms(w)}:
-            seen.setdefault(t, [0, 0])[y] += 1
     least = max(LEAST_DOCS, LEAST_SHARE * total[1])
+    toxic, clean = [set(ws) for ws, y in docs if y], [set(ws) for ws, y in docs if not y]
+    # toxic documents first, a length of beginnings after the other: a longer one needs its shorter one
+    tox = {w: n for w, n in Counter(w for ws in toxic for w in ws).items() if n >= least}
+    for n in BEGINNINGS:
+        found = Counter(b for ws in toxic for b in {w[:n] + "*" for w in ws if len(w) > n and (n == BEGINNINGS[0] or w[: n - 1] + "*" in tox)})
+        tox |= {b: k for b, k in found.items() if k >= least}
+    pure = Counter(t for ws in clean for t in {f for w in ws for f in forms(w) if f in tox})
+    seen = {t: (pure[t], n) for t, n in tox.items()}
     rate = lambda n, k: (n + 0.5) / (total[k] + 1)
     far = lambda tox, clean: (tox - (e := total[1] * (clean + 1) / (total[0] + 2))) / np.sqrt(max(e, 0.05))
-    likely = {t for t, (clean, tox) in seen.items() if tox >= least and len(t.rstrip("*")) >= 3 and far(tox, clean) >= LEAST_Z}
+    likely = {t for t, (clean, tox) in seen.items() if len(t.rstrip("*")) >= 3 and far(tox, clean) >= LEAST_Z}
     near, full = defaultdict(set), defaultdict(set)
     for ws, y in docs:
         if y:
@@ -216,12 +220,12 @@ class Model:
         self.automaton, self.weight = Automaton([], []), (np.zeros(0), np.zeros(0))
         if not self.ready:
             return
-        bags = []
+        bags, same = [], {}
         for t in texts:
             data = t.encode()
             points, s, e, _ = words(data, np.array([0, len(data)])) if data else (np.zeros(0, np.uint32),) * 4
             joined = points.astype("<u4").tobytes().decode("utf-32-le")
-            bags.append([joined[i:j] for i, j in zip(s, e, strict=True)] if data else [])
+            bags.append([same.setdefault(w, w) for w in (joined[i:j] for i, j in zip(s, e, strict=True))] if data else [])
         whole, begin = learn_terms(list(zip(bags, toxic, strict=True)))
         clean = set().union(*(b for b, y in zip(bags, toxic, strict=True) if not y))
         self.weight = (np.array(list(whole.values())), np.array(list(begin.values())))
