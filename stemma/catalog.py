@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-FLAGSHIP = ""
+from .queries import ORACLE, QUERIES, linking, paths, refs, sources, streams, text, trade  # noqa: F401
+
+FLAGSHIP = "search_containment"
