@@ -28,14 +28,14 @@ def job_states(spark, sf_dir):
     return J.job_states(job_events(spark, sf_dir))
 
 
-@query("stalled_jobs", f"WITH {BASE}{STATES} SELECT job, epoch((SELECT max(ts) FROM events))::BIGINT - epoch(max(ev.ts))::BIGINT AS silent FROM ev JOIN st USING (job) WHERE status = 'running' GROUP BY job HAVING silent > 900")
+@query("stalled_jobs", f"WITH {BASE}{STATES} SELECT job, floor(epoch((SELECT max(ts) FROM events)))::BIGINT - floor(epoch(max(ev.ts)))::BIGINT AS silent FROM ev JOIN st USING (job) WHERE status = 'running' GROUP BY job HAVING silent > 900")
 def stalled_jobs(spark, sf_dir):
     """Running jobs that have been silent for a quarter of an hour at the end of the table."""
     now = read(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
     return J.stalled(job_events(spark, sf_dir), now)
 
 
-@query("reaped_jobs", f"WITH {BASE}{STATES} SELECT job FROM st WHERE status IN ('succeeded', 'failed') AND epoch((SELECT max(ts) FROM events))::BIGINT - epoch(since)::BIGINT > 86400")
+@query("reaped_jobs", f"WITH {BASE}{STATES} SELECT job FROM st WHERE status IN ('succeeded', 'failed') AND floor(epoch((SELECT max(ts) FROM events)))::BIGINT - floor(epoch(since))::BIGINT > 86400")
 def reaped_jobs(spark, sf_dir):
     """M03."""
     now = read(spark, sf_dir, "events").agg(F.max("ts")).first()[0]

@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 from ..plans.corpus import Corpus
 
 MAX_FILES, MAX_BYTES = 10_000, 2 << 30
+#: The tables of a written corpus; an empty one has no files to read its columns from.
+SCHEMAS = {
+    "slots": "slot long, text string, after string, corpus string",
+    "nodes": "node long, otype string, first_slot long, last_slot long, n_slots long, key long, corpus string",
+    "node_features": "node long, value_str string, value_int long, corpus string, feature string",
+    "edge_features": "src long, dst long, value string, corpus string, feature string",
+}
 
 
 def family(content: Column) -> Column:
@@ -72,7 +79,7 @@ def read_corpus(spark: SparkSession, folder: str) -> Corpus:
     """The inverse; a filter on corpus or feature prunes folders. S07, R09."""
     meta = {r["key"]: r["value"] for r in spark.read.parquet(f"{folder}/manifest").collect()}
     types = meta["section_types"].split(",")
-    t = lambda name: spark.read.parquet(f"{folder}/{name}")
+    t = lambda name: spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
     return Corpus(t("slots"), t("nodes"), t("node_features"), t("edge_features"), types, dict(zip(types, meta["section_features"].split(","), strict=True)), {k: "int" for k in meta["int_features"].split(",") if k}, meta["slot_type"])
 
 
