@@ -3,16 +3,26 @@
 Signature: the shingle hashes of a text fall into REGISTERS buckets; of each bucket's least hash the
 register keeps the count of leading zeros and MANTISSA bits after the first one (16 bits in all). Empty
 registers copy a full one by a fixed pseudo-random choice, so short texts band like long ones. BANDS bands
-of 4 registers are the join keys: a pair at 80 % shares none of them with a chance of about 5e-8.
+of 6 registers are the join keys: a pair at 80 % shares none of them with a chance of about 5e-7.
 
 Candidates: texts with equal sets form a class, which its smallest doc_id stands for, so exact copies never
-pair up. In a bucket (band and key), the smallest member is compared with every other: pairs grow with the
-members, not with their square. Members left in different components go on to further rounds with four
-times as many pivots each, only among pairs not yet compared, until every bucket lies in one component or
-has had all its pairs compared; there is no cap. The estimate of the Jaccard similarity, corrected for
+pair up. In a bucket (band and key), the smallest member, the pivot p, is compared with every other: pairs
+grow with the members, not with their square. The estimate of the Jaccard similarity, corrected for
 registers that agree by chance, drops pairs far below the limit; the rest are confirmed on full sets.
 
-Scale: one pass over the texts writes 300 bytes a document; bands move 8-byte keys; texts move only for
+Where the members of a bucket still lie in several components, exact bounds decide, without a cap. With u
+shingles that no other such document has, a partner of A has at most 1.25 |A| - 2.25 u
+shingles; where that is less than 0.8 |A|, A is done (also with the shingles of its component alone as u). The
+others are compared with their bucket's hub p, the member with the most links so far. Two members A and B besides it can then only be
+linked in two ways, and both are looked up:
+  (i) they share a shingle that p lacks. In the order "shingles that p lacks, rare ones first, then those of
+      p", the first shared one is among the first |A| - ceil(0.8 |A|) + 1 of A, and of B likewise: an equi-join
+      on (p, shingle), which also holds the sizes to what they allow.
+  (ii) all they share is in p. Then |A & B| <= |A & p| and |A | B| >= |B| + |A - p|, and the same with A and B
+      exchanged, which leaves few pairs.
+So a group of copies with thousands of edits, near the limit or beyond it, costs about its own length.
+
+Scale: one pass over the texts writes 600 bytes a document; bands move 8-byte keys; texts move only for
 documents in candidate pairs. Components come from min-label rounds with pointer jumping over the link
 table; nothing about documents is collected. Skew (a class or bucket with a third of all rows) is met by
 map-side minima and by joins whose large side adaptive execution can split.
@@ -29,16 +39,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _words
 from ._common import bounded_batches, read, shared_table
 
-REGISTERS, BANDS, MANTISSA = 128, 32, 10
+REGISTERS, BANDS, MANTISSA = 288, 48, 10
+ROWS = REGISTERS // BANDS
 PERCENT = 80
-#: The estimate's standard deviation is at most 0.036 at 80 %; pairs five and more of them below go.
-SLACK = 0.2
+#: The estimate's standard deviation is at most 0.024 at 80 %; pairs more than six of them below go.
+SLACK = 0.15
 #: Below this many shingles, copied registers widen the estimate: such pairs are always confirmed.
 SMALL = 64
 _U = np.uint64
@@ -51,7 +62,8 @@ def registers(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(offsets) - 1
     owner = np.repeat(np.arange(n), np.diff(offsets))
     low = np.full(n * REGISTERS, 1 << 57, _U)
-    np.minimum.at(low, owner * REGISTERS + (sets >> _U(57)).astype(np.int64), sets & _U((1 << 57) - 1))
+    bucket = ((sets >> _U(32)) * _U(REGISTERS) >> _U(32)).astype(np.int64)
+    np.minimum.at(low, owner * REGISTERS + bucket, _words.mix(sets) >> _U(7))
     full = low < _U(1 << 57)
     m, e = np.frexp(low.astype(np.float64) + 1)
     reg = ((58 - np.minimum(e, 57)) << MANTISSA) | ((m * 2 - 1) * (1 << MANTISSA)).astype(np.int64)
@@ -124,7 +136,7 @@ def likely_pairs(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely(percent), "a long, b long")
 
 
-def _confirm(k: int, percent: int):
+def _compare(k: int, percent: int):
     def sets(ids: pa.Array, texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
         """The place of each row's set among the sets, and the sets: neighbours with one id share one."""
         row = ids.to_numpy()
@@ -136,27 +148,33 @@ def _confirm(k: int, percent: int):
         for x in batches:
             if not x.num_rows:
                 continue
-            (pa_, sa), (pb_, sb) = sets(x.column("a"), x.column("ta")), sets(x.column("b"), x.column("tb"))
-            keep = np.zeros(x.num_rows, bool)
+            (at, sa), (bt, sb) = sets(x.column("a"), x.column("ta")), sets(x.column("b"), x.column("tb"))
+            shared = np.zeros(x.num_rows, np.int64)
             for i in range(x.num_rows):
-                p, q = sa[pa_[i]], sb[pb_[i]]
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                keep[i] = shared > 0 and 100 * shared >= percent * (len(p) + len(q) - shared)
-            yield x.select(["a", "b"]).filter(pa.array(keep))
+                p, q = sa[at[i]], sb[bt[i]]
+                if len(p):
+                    shared[i] = (p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).sum()
+            size = lambda t, s: pa.array(np.array([len(y) for y in s], np.int64)[t])
+            yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), size(at, sa), size(bt, sb), pa.array(shared)], names=["a", "b", "na", "nb", "shared"])
 
     return run
 
 
-def confirmed_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have the similarity."""
+def compare(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b, na, nb (sizes of their full shingle sets) and shared."""
     both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(_confirm(k, percent), "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(_compare(k, percent), "a long, b long, na long, nb long, shared long")
+
+
+def linked(percent: int) -> str:
+    return f"shared > 0 and 100 * shared >= {percent} * (na + nb - shared)"
 
 
 def components(links: DataFrame) -> DataFrame:
     """doc_id, component: the least id reachable, for each id in links (a, b). Min-label rounds with pointer jumping."""
     edges = shared_table(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("u", "v"), "edges")
-    labels = shared_table(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("l")).withColumn("changed", F.lit(True)), "labels")
+    first = edges.groupBy("u").agg(F.least("u", F.min("v")).alias("l"))
+    labels = shared_table(first.join(first.toDF("l", "ll"), "l").select("u", F.least("l", "ll").alias("l"), F.lit(True).alias("changed")), "labels")
     while labels.where("changed").limit(1).count():
         at = labels.select("u", "l")
         least = edges.join(at.toDF("v", "lv"), "v").groupBy("u").agg(F.min("lv").alias("ln"))
@@ -175,45 +193,125 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame
     classes = shared_table(signed.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     heads = signed.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     heads = shared_table(heads.select("doc_id", "n_shingles", "signature"), "heads")
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.cast("byte").alias("band"), F.substring("signature", i * 8 + 1, F.lit(8)).alias("key"))))
-    rows = heads.select("doc_id", band.alias("x")).select("x.band", "x.key", "doc_id")
-    buckets = rows.groupBy("band", "key").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = shared_table(rows.join(buckets.select("band", "key", "pivot"), ["band", "key"]), "buckets")
-    active = rows.where("doc_id <> pivot")
-    fresh = active.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    active = active.select("band", "key", "doc_id")
-    tried = links = texts = None
-    pivots = 1
-    while True:
-        fresh = shared_table(fresh, "pairs")
-        likely = shared_table(likely_pairs(fresh, heads, percent), "likely")
-        wanted = likely.select("a").union(likely.select("b")).distinct().toDF("doc_id")
-        if texts is not None:
-            wanted = wanted.join(texts.select("doc_id"), "doc_id", "left_anti")
-        more = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-        if pivots == 1 or not wanted.isEmpty():
-            more = shared_table(more, "texts")
-            texts = more if texts is None else texts.union(more)
-        found = shared_table(confirmed_pairs(likely, texts, k, percent), "links")
-        tried = fresh if tried is None else tried.union(fresh)
-        links = found if links is None else links.union(found)
+    key = lambda i: F.xxhash64(i, F.substring("signature", i * (2 * ROWS) + 1, F.lit(2 * ROWS)))
+    rows = heads.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), key)).alias("k"))
+    pivots = rows.groupBy("k").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    rows = shared_table(rows.join(pivots.hint("merge"), "k"), "buckets")
+    fresh = shared_table(rows.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), "fresh")
+    likely = shared_table(likely_pairs(fresh, heads, percent), "likely")
+    texts = with_texts(docs, likely, None)
+    links = shared_table(compare(likely, texts, k, percent).where(linked(percent)).select("a", "b"), "links")
+    by = components(links)
+    rows = unresolved(rows, by)
+    if not rows.isEmpty():
+        # peel: shingles that no other document here has bound how large a document's partner can be
+        texts = with_texts(docs, rows.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")), texts)
+        found = shingle_rows(texts.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), k)
+        alone = found.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("doc_id")).where("df = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone"))
+        size = sizes(heads, rows, alone, percent)
+        rows = unresolved(rows.join(size.select("doc_id").hint("merge"), "doc_id"), by)
+    if not rows.isEmpty():
+        # peel again: nor do shingles help that only documents of its own component have
+        found = with_components(shingle_rows(texts.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), k), by)
+        found = shared_table(found, "shingles")
+        wide = found.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("df")).where("lo < hi").select("t", "df")
+        shingle = shared_table(found.join(wide.hint("merge"), "t").select("doc_id", "t", "df"), "wide")
+        own = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(shingle.groupBy("doc_id").agg(F.count(F.lit(1)).alias("w")).hint("merge"), "doc_id", "left")
+        size = sizes(heads, rows, own.select("doc_id", (F.col("n") - F.coalesce("w", F.lit(0))).alias("alone")), percent)
+        rows = unresolved(rows.join(size.select("doc_id").hint("merge"), "doc_id"), by)
+    if not rows.isEmpty():
+        degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("doc_id")).agg(F.count(F.lit(1)).alias("degree"))
+        hubs = rows.join(degree.hint("merge"), "doc_id", "left").groupBy("k").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("d"), (-F.col("doc_id")).alias("i"))).alias("hub")).select("k", (-F.col("hub.i")).alias("a"))
+        met = shared_table(rows.join(hubs.hint("merge"), "k").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "met")
+        seen = shared_table(compare(met, texts, k, percent), "seen")
+        links = links.union(seen.where(linked(percent)).select("a", "b"))
+        by = components(links)
+        group = with_components(seen.withColumnRenamed("b", "doc_id"), by).join(size.select("doc_id", "n", "alone", "most").hint("merge"), "doc_id")
+        group = shared_table(group.join(by.toDF("a", "hub_component").hint("merge"), "a", "left"), "group")
+        extra = shared_table(inside_pairs(group, percent).union(outside_pairs(group, shingle, percent)).distinct(), "extra")
+        likely = shared_table(likely_pairs(extra, heads, percent), "likely")
+        links = links.union(shared_table(compare(likely, texts, k, percent).where(linked(percent)).select("a", "b"), "links"))
         by = components(links)
-        named = active.join(by, "doc_id", "left").select("band", "key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        several = named.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key")
-        active = shared_table(named.join(several, ["band", "key"], "left_semi"), "active")
-        if active.isEmpty():
-            break
-        pivots *= 4
-        salt = F.pmod(F.xxhash64("doc_id", F.lit(pivots)), F.lit(pivots)).alias("salt")
-        chosen = shared_table(active.groupBy("band", "key", salt).agg(F.min("doc_id").alias("pivot")).join(by.toDF("pivot", "c"), "pivot", "left").select("band", "key", "pivot", F.coalesce("c", "pivot").alias("c")), "pivots")
-        pairs = active.join(chosen, ["band", "key"]).where("component <> c").select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
-        fresh = pairs.join(tried, ["a", "b"], "left_anti")
-        active = active.join(chosen.select("band", "key", F.col("pivot").alias("doc_id")), ["band", "key", "doc_id"], "left_anti").select("band", "key", "doc_id")
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2", "n_shingles"], "left").join(by.toDF("rep", "component"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def sizes(heads: DataFrame, rows: DataFrame, alone: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n, alone, most of the documents in rows that can have a partner: most is its largest size, given alone
+    shingles that the partner can't have."""
+    size = heads.select("doc_id", F.col("n_shingles").alias("n")).join(rows.select("doc_id").distinct(), "doc_id").join(alone.hint("merge"), "doc_id", "left")
+    size = size.select("doc_id", "n", F.coalesce("alone", F.lit(0)).alias("alone"), F.expr(f"(100 * n - {100 + percent} * coalesce(alone, 0)) div {percent}").alias("most"))
+    return shared_table(size.where(f"most >= ({percent} * n + 99) div 100"), "sizes")
+
+
+def unresolved(rows: DataFrame, by: DataFrame) -> DataFrame:
+    """The rows (k, doc_id, pivot) of buckets whose members besides the pivot lie in several components."""
+    named = with_components(rows, by)
+    several = named.where("doc_id <> pivot").groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("k")
+    return shared_table(named.join(several.hint("merge"), "k", "left_semi").select("k", "doc_id", "pivot"), "unresolved")
+
+
+def _explode(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            ids = x.column(0)
+            for i, sets, offsets in _words.shingle_sets(x.column(1), k):
+                owner = np.repeat(np.arange(i, i + len(offsets) - 1), np.diff(offsets))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), pa.array(sets.view(np.int64))], names=["doc_id", "t"])
+
+    return run
+
+
+def shingle_rows(texts: DataFrame, k: int) -> DataFrame:
+    """doc_id, t: each distinct shingle of each text."""
+    return texts.select("doc_id", "text").mapInArrow(_explode(k), "doc_id long, t long")
+
+
+def with_components(rows: DataFrame, by: DataFrame) -> DataFrame:
+    """rows with the component of each doc_id, itself if it has no link."""
+    return rows.join(by, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+
+def with_texts(docs: DataFrame, pairs: DataFrame, texts: DataFrame | None) -> DataFrame:
+    """texts (doc_id, text) with those of all documents in pairs."""
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id")
+    if texts is not None:
+        wanted = shared_table(wanted.join(texts.select("doc_id"), "doc_id", "left_anti"), "wanted")
+        if wanted.isEmpty():
+            return texts
+    more = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    more = shared_table(more, "texts")
+    return more if texts is None else texts.union(more)
+
+
+def inside_pairs(seen: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of case (ii). seen: a is the hub, doc_id the member, with sizes, shared and component."""
+    within = seen.where(f"100 * shared >= {percent} * nb").select("a", F.col("doc_id").alias("b"), "nb", "shared", (F.col("nb") - F.col("shared")).alias("more"), "component", F.expr(linked(percent)).alias("near"))
+    least = within.groupBy("a").agg(F.min("nb").alias("least"))
+    x = within.where("not near").join(least.hint("merge"), "a").where(f"100 * shared >= {percent} * (least + more)").drop("least", "near")
+    most = x.groupBy("a").agg(F.max(F.expr(f"100 * shared div {percent} - more")).alias("top"))
+    y = within.drop("near").join(most.hint("merge"), "a").where("nb <= top").drop("top").toDF("a", "b2", "nb2", "shared2", "more2", "component2")
+    both = x.join(y.hint("merge"), "a").where(f"b <> b2 and component <> component2 and 100 * shared >= {percent} * (nb2 + more) and 100 * shared2 >= {percent} * (nb + more2)")
+    return both.select(F.least("b", "b2").alias("a"), F.greatest("b", "b2").alias("b")).distinct()
+
+
+def outside_pairs(seen: DataFrame, shingle: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of case (i), of members of which one at least isn't in the hub's component. shingle (doc_id, t, df)
+    has what documents of several components have. A pair counts at its first common shingle only."""
+    keyed = seen.select("a", "doc_id", "n", "alone", "most", "component", "hub_component").join(shingle.hint("merge"), "doc_id")
+    keyed = keyed.join(shingle.select(F.col("doc_id").alias("a"), "t").hint("merge"), ["a", "t"], "left_anti")
+    rare = Window.partitionBy("a", "doc_id").orderBy("df", "t")
+    keyed = keyed.withColumn("place", F.row_number().over(rare)).where(f"place <= n - ({percent} * n + 99) div 100 - alone + 1")
+    keyed = keyed.withColumn("before", F.collect_list("t").over(rare.rowsBetween(Window.unboundedPreceding, -1)))
+    keyed = keyed.select("a", "t", "doc_id", "n", "most", "component", F.coalesce(F.col("component") != F.col("hub_component"), F.lit(True)).alias("out"), "before")
+    several = keyed.groupBy("a", "t").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("a", "t")
+    keyed = shared_table(keyed.join(several.hint("merge"), ["a", "t"], "left_semi"), "keyed")
+    x, y = keyed.where("out").toDF("a", "t", "b", "n", "most", "c", "out", "before"), keyed.toDF("a", "t", "b2", "n2", "most2", "c2", "out2", "before2")
+    both = x.join(y.hint("merge"), ["a", "t"]).where("c <> c2 and n <= most2 and n2 <= most and (b < b2 or not out2) and not arrays_overlap(before, before2)")
+    return both.select(F.least("b", "b2").alias("a"), F.greatest("b", "b2").alias("b")).distinct()
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among all documents, on shingles of four words; see near_dedup."""
     return near_dedup(read(spark, sf_dir, "documents"), k=4)
