@@ -42,8 +42,10 @@ def duck():
 
 def rows_of(frame):
     """Rows in an order of their own, columns by name, floats rounded."""
+    import pandas as pd
+
     def cell(v):
-        if v is None or v != v:
+        if v is None or (not hasattr(v, "__len__") and pd.isna(v)):
             return None
         if isinstance(v, float):
             return int(v) if v == int(v) else round(v, 6)
