@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,15 +40,6 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the executors' memory or disk, with its lineage: for small tables between
-    the rounds of an iteration, where a written file for each partition would cost more than it holds. A lost
-    executor's part is computed again from what came before, at the latest from the last shared table."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    df.count()
-    return df
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -72,3 +62,15 @@ def bounded_batches(spark: SparkSession, mb: int = 4) -> None:
     spark.conf.set(key, f"{mb}m")
     if int(spark.conf.get(rows)) <= 0 or int(spark.conf.get(rows)) > 2000:
         spark.conf.set(rows, 2000)
+
+
+def hashed_sample(df: DataFrame, key: Column, seed: int, n: int) -> list:
+    """At most n rows of df (column h besides), the least by a hash of key, on the driver. A count comes first, so that
+    the executors send about 1.5 n rows between them, however many tasks there are."""
+    h = F.xxhash64(key.cast("string"), F.lit(seed))
+    total = df.count()
+    df = df.withColumn("h", h)
+    if total > 2 * n:
+        df = df.where(F.pmod("h", F.lit(1 << 31)) < int(1.5 * n / total * (1 << 31)))
+    rows = df.collect()
+    return sorted(rows, key=lambda r: (r["h"] % (1 << 31), r["h"], tuple(str(v) for v in r)))[:n]

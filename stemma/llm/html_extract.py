@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
-from ._common import bounded_batches, read
+from ._common import bounded_batches, hashed_sample, read
 
 SAMPLE = 200
 GENERATED = 1500
@@ -390,8 +390,7 @@ def extract_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """page_id, url, text, n_chars for each page."""
     spark = pages.sparkSession
     bounded_batches(spark)
-    order = F.xxhash64(F.col("page_id").cast("string"), F.lit(8)).alias("h")
-    rows = pages.where(F.col("html").isNotNull()).select(order, "html").orderBy("h", "html").limit(sample).collect()
+    rows = hashed_sample(pages.where(F.col("html").isNotNull()).select("page_id", "html"), F.col("page_id"), 8, sample)
     shared = spark.sparkContext.broadcast(train([r.html for r in rows]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
-from ._common import bounded_batches, read
+from ._common import bounded_batches, hashed_sample, read
 
 SAMPLE = 3000
 BUCKETS = 1 << 15
@@ -171,8 +171,8 @@ class Model:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most `sample` labelled rows outside the held-out fold."""
-    rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)).alias("h"), "text", "lang")
-    found = sorted(rows.orderBy("h").limit(sample).collect())
+    rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    found = hashed_sample(rows, F.col("doc_id"), 5, sample)
     return Model([r.text for r in found], [r.lang for r in found])
 
 
