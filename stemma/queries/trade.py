@@ -305,19 +305,3 @@ def _second_page(results):
     """Twenty results after the first twenty, by the last row as cursor."""
     last = S.page(results, 20).collect()[-1].asDict()
     return S.page(results, 20, last).select("n1", "n2")
-
-
-@query("search_result_lines", sql("SELECT o.node AS n2, concat_ws(' | ', concat_ws(' ', r_name, n_name, CAST(c.key AS VARCHAR)), concat_ws(' ', r_name, n_name, CAST(c.key AS VARCHAR))) AS line FROM co c JOIN oo o ON o.o_custkey = c.c_custkey JOIN customer u ON u.c_custkey = c.key JOIN nation ON u.c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_mktsegment = 'BUILDING' AND o_orderstatus = 'P' AND o.first_slot IS NOT NULL"))
-def search_result_lines(spark, sf_dir):
-    """A line for each result, the references of its nodes joined by " | "."""
-    from ..operators.reference import section_nodes
-
-    c = trade_corpus(spark, sf_dir)
-    c.section_types = ["region", "nation", "customer"]
-    found = S.search(c, "customer segment=BUILDING\n  order status=P")
-    # sections' references once, then an equi-join by the enclosing section
-    ref = section_nodes(c).select(F.col("node").alias("section_node"), F.replace("path", F.lit("\u001f"), F.lit(" ")).alias("ref"))
-    nodes = found.select("corpus", F.explode(F.array(F.struct(F.col("n1").alias("node"), F.col("f1").alias("first_slot")), F.struct(F.col("n2").alias("node"), F.col("f2").alias("first_slot")))).alias("x")).select("corpus", "x.node", "x.first_slot").distinct()
-    ref = H.enclosing_sections(c, nodes).join(ref, "section_node").select("node", "ref")
-    out = found.join(ref.toDF("n1", "r1"), "n1").join(ref.toDF("n2", "r2"), "n2")
-    return out.select("n2", F.concat_ws(" | ", "r1", "r2").alias("line"))
