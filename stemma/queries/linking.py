@@ -39,6 +39,13 @@ def catalog_identify(spark, sf_dir):
     return L.identify(part.where("p_partkey <= 50").select(F.col("p_type").alias("name"), F.col("p_partkey").alias("work_id")), names)
 
 
+@query("catalog_identify_all", "WITH n AS (SELECT p_partkey, concat_ws(' ', p_name, p_type, p_brand, p_size) AS name FROM part) SELECT p.p_partkey AS id, name, q.p_partkey AS work_id FROM n p JOIN n q USING (name)")
+def catalog_identify_all(spark, sf_dir):
+    """Every part against the whole catalog, by full names, of which few are shared."""
+    part = read(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand", F.col("p_size").cast("string")).alias("name"))
+    return L.identify(part.select("name", F.col("p_partkey").alias("work_id")), part.select(F.col("p_partkey").alias("id"), "name"))
+
+
 @query("resolve_status", "SELECT c_custkey AS id, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'unresolved' WHEN open = 0 THEN 'unavailable' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus <> 'P') AS open FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) ON o_custkey = c_custkey")
 def resolve_status(spark, sf_dir):
     """Requests against their candidates (urgent orders; pending ones aren't available)."""
