@@ -170,6 +170,27 @@ def milestone_errors(spark, sf_dir):
     return L.paired_milestones(marks)[1]
 
 
+_MARKS = "m AS (SELECT user_id AS doc, event_id // 4 AS id, count(*) FILTER (event_id % 4 < 2) AS s, count(*) FILTER (event_id % 4 >= 2) AS e, min(event_id) FILTER (event_id % 4 < 2) AS start, max(event_id) FILTER (event_id % 4 >= 2) AS stop FROM events GROUP BY 1, 2)"
+
+
+def _every_mark(spark, sf_dir):
+    """Every event as a marker: the first two of four open a span, the other two close it."""
+    k = F.col("event_id")
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), F.expr("event_id div 4").alias("id"), F.when(k % 4 < 2, "start").otherwise("end").alias("kind"), k.alias("place"))
+
+
+@query("milestone_spans_all", f"WITH {_MARKS} SELECT doc, id, start, stop FROM m WHERE s = 1 AND e = 1")
+def milestone_spans_all(spark, sf_dir):
+    """Spans from markers, every event being one."""
+    return L.paired_milestones(_every_mark(spark, sf_dir))[0]
+
+
+@query("milestone_errors_all", f"WITH {_MARKS} SELECT doc, id, CASE WHEN s > 1 OR e > 1 THEN 'duplicate' WHEN e = 0 THEN 'unclosed' ELSE 'unmatched' END AS error FROM m WHERE s <> 1 OR e <> 1")
+def milestone_errors_all(spark, sf_dir):
+    """Markers without their pair, and repeated ones, every event being a marker."""
+    return L.paired_milestones(_every_mark(spark, sf_dir))[1]
+
+
 @query("version_label", "SELECT source AS corpus, 'v1.' || (count(*) + 1) AS next FROM documents GROUP BY source")
 def version_label(spark, sf_dir):
     """The next label after v1.n, by number and not by text."""

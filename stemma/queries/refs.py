@@ -73,18 +73,29 @@ def human_references(spark, sf_dir):
     return c.select("c_custkey", F.array_join(parts, "|").alias("sections"))
 
 
-@query("passages_by_reference", sql("SELECT c_custkey AS id, string_agg(l_returnflag, ' ' ORDER BY slot) AS text FROM li WHERE c_custkey % 3 = 0 GROUP BY c_custkey"))
-def passages_by_reference(spark, sf_dir):
-    """The text of the sections that references name."""
+def _passages(spark, sf_dir, asked):
+    """id, text for the customers asked, each named by a reference to its section."""
     from ..operators.structure import node_text
 
     c = _three(spark, sf_dir)
-    u = read(spark, sf_dir, "customer").where("c_custkey % 3 = 0").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    u = asked.join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     ref = F.concat("r_name", F.lit(":"), "n_name", F.lit(":"), F.col("c_custkey").cast("string"))
     found = Q.resolve(c, u.select(F.col("c_custkey").cast("long").alias("id"), R.parse(ref).alias("r")), "1").where("status = 'resolved'")
     return node_text(c, c.nodes.join(found.select("node", "id"), "node")).join(found.select("node", "id"), "node").select("id", "text")
 
 
+@query("passages_by_reference", sql("SELECT c_custkey AS id, string_agg(l_returnflag, ' ' ORDER BY slot) AS text FROM li WHERE c_custkey % 3 = 0 GROUP BY c_custkey"))
+def passages_by_reference(spark, sf_dir):
+    """The text of the sections that references name."""
+    return _passages(spark, sf_dir, read(spark, sf_dir, "customer").where("c_custkey % 3 = 0"))
+
+
+@query("passages_by_reference_all", sql("SELECT c_custkey AS id, string_agg(l_returnflag, ' ' ORDER BY slot) AS text FROM li GROUP BY c_custkey"))
+def passages_by_reference_all(spark, sf_dir):
+    """The text of every customer's section, by its reference."""
+    return _passages(spark, sf_dir, read(spark, sf_dir, "customer"))
+
+
 @query("scheme_tokens", "SELECT * FROM (VALUES ('JHN', 'code', NULL, 'JHN'), ('3', 'ordinal', NULL, '3'), ('chapter-4', 'level-ordinal', 'chapter', '4'), ('page-0', 'code', NULL, 'page-0')) AS t(token, kind, level, value)")
 def scheme_tokens(spark, sf_dir):
     """The three kinds of tokens of a canonical reference."""
