@@ -152,6 +152,13 @@ def postings(spark, sf_dir):
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n"))
 
 
+@query("postings_all", r"SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY term")
+def postings_all(spark, sf_dir):
+    """The inverted index of all documents, whatever their language, summed by term."""
+    p = T.postings(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return p.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n"))
+
+
 @query("full_text_search", r"""WITH p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY ALL),
  s AS (SELECT doc_id, sum(tf) AS score FROM p WHERE term IN ('licensed', 'under') GROUP BY doc_id HAVING count(*) = 2)
  SELECT doc_id, CAST(score AS BIGINT) AS score FROM s ORDER BY score DESC, doc_id LIMIT 20""")

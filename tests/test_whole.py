@@ -34,3 +34,9 @@ def test_every_reference_is_read(spark):
     orders, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("orders", "lineitem"))
     customers = spark.read.parquet(f"{SF}/customer.parquet").join(orders, F.col("c_custkey") == F.col("o_custkey")).join(items, F.col("o_orderkey") == F.col("l_orderkey")).select("c_custkey").distinct()
     assert {r[0] for r in catalog.QUERIES["passages_by_reference_all"](spark, SF).select("id").collect()} == {r[0] for r in customers.collect()}
+
+
+def test_postings_of_every_language(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    terms = docs.select(F.size(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("n"))
+    assert catalog.QUERIES["postings_all"](spark, SF).agg(F.sum("n")).first()[0] == terms.agg(F.sum("n")).first()[0]
