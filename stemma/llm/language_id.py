@@ -3,12 +3,15 @@
 Subwords are the runs of 2, 3 and 4 bytes of the lower-cased UTF-8 text, white space as one blank and
 digits alike, hashed to BUCKETS rows of an embedding table. A text's vector is the average over all its
 subwords; a linear layer and a softmax follow. Both layers are trained by stochastic gradient descent in
-numpy, on pieces of the sampled texts (every piece of them) so that short texts are learned too. A
+numpy, on pieces of PIECE bytes of the sampled texts so that short texts are learned too. A
 temperature and a rejection limit are fitted on a fifth of the sample that training leaves out: below the
 limit, `rejected` is true, while lang_pred stays the best guess.
 
-Learning sees at most SAMPLE labelled rows, the least by a hash of doc_id, of those whose
-crc32(doc_id) mod 5 is not 0; lang, source and doc_id are never inputs of a prediction.
+Learning sees at most SAMPLE labelled rows, of those whose crc32(doc_id) mod 5 is not 0: each language has
+the same share, what rare ones leave of theirs goes to the others, and in a language the rows are the least
+by a hash of doc_id. Of the training texts every piece is learned if there are at most PIECES; else the
+languages share PIECES in the same way, and so do the texts of a language, whose pieces are drawn at random.
+Every language keeps a row, and every text a piece. lang, source and doc_id are never inputs of a prediction.
 
 Scale: the model (BUCKETS x languages numbers, as the two layers fold into one table) is broadcast; texts
 are read once more for prediction, without a shuffle. All work on a text is done in slices.
@@ -19,7 +22,8 @@ labels to learn from, gives `und` for every row; rows are independent; other col
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +31,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
-from ._common import bounded_batches, hashed_sample, read
+from ._common import bounded_batches, read
 
 SAMPLE = 3000
 BUCKETS = 1 << 15
 DIM = 16
 PIECE = 400
+PIECES = 8 * SAMPLE
 LENGTHS = (2, 3, 4)
 _MAP = np.arange(256, dtype=np.uint8)
 _MAP[65:91] += 32
@@ -82,6 +87,32 @@ def pieces(text: str) -> list[bytes]:
     return [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
 
 
+def share(sizes: Iterable[int], most: int) -> int:
+    """The largest part that each may have, so that all have at most `most` together; 1 at least."""
+    sizes = sorted(sizes)
+    for i, n in enumerate(sizes):
+        part = most // (len(sizes) - i)
+        if n > part:
+            return max(1, part)
+        most -= n
+    return max(sizes, default=1)
+
+
+def bounded(train: list[tuple[bytes, int, int]], most: int) -> list[tuple[bytes, int, int]]:
+    """The (piece, language, text) to learn from: all, or `most` shared by the languages and then by the texts of each."""
+    texts: dict[int, Counter] = {}
+    for _, y, i in train:
+        texts.setdefault(y, Counter())[i] += 1
+    part = share((c.total() for c in texts.values()), most)
+    of_text = {y: share(c.values(), min(part, c.total())) for y, c in texts.items()}
+    out, seen = [], Counter()
+    for p, y, i in train:
+        seen[i] += 1
+        if seen[i] <= of_text[y]:
+            out.append((p, y, i))
+    return out
+
+
 class Model:
     """langs, and the folded table: a text's logits are the bias plus the average of its subwords' rows."""
 
@@ -93,13 +124,13 @@ class Model:
         if not k:
             return
         y_of = {lang: i for i, lang in enumerate(self.langs)}
-        train = [(p, y_of[lang]) for i, (t, lang) in enumerate(zip(texts, langs, strict=True)) if i % 5 for p in pieces(t)]
+        train = [(p, y_of[lang], i) for i, (t, lang) in enumerate(zip(texts, langs, strict=True)) if i % 5 for p in pieces(t)]
         check = [(t.encode(), y_of[lang]) for i, (t, lang) in enumerate(zip(texts, langs, strict=True)) if i % 5 == 0]
         rng.shuffle(train)
-        train = train[: 8 * SAMPLE]
+        train = bounded(train, PIECES)
         embed, weight, bias = rng.uniform(-0.5, 0.5, (BUCKETS, DIM)) / DIM, np.zeros((DIM, k)), np.zeros(k)
         data = []
-        for p, y in train:
+        for p, y, _ in train:
             raw = np.frombuffer(p, np.uint8)
             at = np.concatenate([subwords(raw, n) for n in LENGTHS])
             if len(at):
@@ -169,10 +200,28 @@ class Model:
         return lang.tolist(), score
 
 
+def sampled(rows: DataFrame, sample: int) -> list:
+    """At most `sample` of the rows (doc_id, text, lang), shared by the languages, on the driver. Counts come first, so
+    that the executors send about 1.5 times that between them, however many tasks there are."""
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    part = share(counts.values(), sample)
+    rows = rows.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)))
+    limits = {lang: int((1.5 * part + 20) / n * (1 << 31)) for lang, n in counts.items() if n > 2 * part + 40}
+    if limits:
+        limit = F.create_map(*[F.lit(v) for kv in limits.items() for v in kv])[F.col("lang")]
+        rows = rows.where(F.pmod("h", F.lit(1 << 31)) < F.coalesce(limit, F.lit(1 << 31)))
+    out, seen = [], Counter()
+    for r in sorted(rows.collect(), key=lambda r: (r["h"] % (1 << 31), r["h"], tuple(str(v) for v in r))):
+        seen[r["lang"]] += 1
+        if seen[r["lang"]] <= part:
+            out.append(r)
+    return out
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most `sample` labelled rows outside the held-out fold."""
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    found = hashed_sample(rows, F.col("doc_id"), 5, sample)
+    found = sampled(rows, sample)
     return Model([r.text for r in found], [r.lang for r in found])
 
 
