@@ -128,7 +128,7 @@ def blocks(html: str) -> tuple[list[tuple[str, ...]], list[str], list[float]]:
         words = [name]
         if m[3] and "=" in m[3]:
             for key, *value in _ATTRIBUTE.findall(m[3]):
-                words += ["." + w for w in _WORD.findall("".join(value).lower())][:8] if key else []
+                words += dict.fromkeys("." + w for w in _WORD.findall("".join(value).lower())) if key else []
         path = (*path, *words)
         stack.append((name, path))
     flush(path)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("stemma.llm")
-from stemma.llm import language_id  # noqa: E402
+from stemma.llm import html_extract, language_id  # noqa: E402
 
 
 def test_a_long_text_pushes_no_other_out():
@@ -20,3 +20,8 @@ def test_a_rare_language_is_sampled(spark):
     rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"), F.when(F.col("id") % 10_000 == 7, "sv").otherwise("en").alias("lang"))
     found = language_id.sampled(rows, 50)
     assert sum(r["lang"] == "sv" for r in found) == 2 and len(found) == 50
+
+
+def test_all_words_of_an_attribute_count():
+    paths, texts, _ = html_extract.blocks("<body><div class='flex w-full items-center px-4 py-2 md-hidden sidebar'><p>Aside.</p></div><p>Text.</p></body>")
+    assert texts == ["Aside.", "Text."] and [html_extract.away(p) for p in paths] == [True, False]
