@@ -41,7 +41,9 @@ def resolve(corpus: Corpus, refs: DataFrame, version: str | None = None) -> Data
     sections = section_nodes(corpus).select(F.col("path").alias("_path"), F.col("node").alias("section_node"))
     asked = refs.withColumn("_path", F.array_join("r.sections", "\u001f")).join(sections, "_path", "left")
     parents = corpus.nodes.where(F.col("otype").isin(corpus.section_types)).select("corpus", "node", "otype", "first_slot", "last_slot")
-    wanted = [r[0] for r in refs.select("r.target_type").where("r.target_type is not null").distinct().limit(100).collect()]
+    # the corpus has few types, while references may name any number of others
+    asked_types = refs.select(F.col("r.target_type").alias("otype")).distinct()
+    wanted = [r[0] for r in corpus.nodes.select("otype").distinct().join(asked_types, "otype", "left_semi").collect()]
     kids = anchored_children(parents, corpus.nodes.where(F.col("otype").isin(wanted)), 256).select(F.col("p_node").alias("section_node"), F.col("c_otype").alias("_type"), F.col("c_node").alias("kid"), "index")
     sizes = kids.groupBy("section_node", "_type").agg(F.count(F.lit(1)).alias("n_kids"))
     asked = asked.withColumn("_type", F.col("r.target_type")).join(sizes, ["section_node", "_type"], "left")
