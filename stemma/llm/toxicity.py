@@ -1,28 +1,32 @@
 """Toxicity by a lexicon whose misspellings Levenshtein automata catch, and windows of context.
 
 Words are runs of letters and digits, in lower case. The lexicon is learned: words, and beginnings of
-words, whose share of toxic documents is far above chance. Its trie is intersected with the Levenshtein
-automaton of one edit (words of FUZZY letters or more, the first letter kept) into one deterministic
-automaton, which reads all words of a slice side by side. Words one edit from a term that clean sampled
-documents use are exceptions. A hit counts in full as abuse, and half where its window of context quotes:
-quotation marks on both sides within WINDOW words, or a mark on the word itself.
+words, whose share of toxic documents is far above chance, the TERMS clearest at most. Its trie is
+intersected with the Levenshtein automaton of one edit (words of FUZZY letters or more, the first letter
+kept) into one deterministic automaton, which reads all words of a slice side by side. Words one edit from
+a term that clean sampled documents use are exceptions.
 
-A document's features are the weights of its hits, their number and density, by whole words and by
-beginnings; a logistic model in numpy weighs them. Learning sees at most SAMPLE labelled rows of either
-class, the least by a hash of doc_id, of those whose crc32(doc_id) mod 5 is not 0; labels, lang, source
-and doc_id are never inputs of a score.
+A hit is a quotation where its window of context opens a quotation before it and closes one after it, within
+WINDOW words. A document's features are the weights of its hits, their number and density, by whole words
+and by beginnings, and the weights of its quoted hits apart; a logistic model in numpy weighs them. So that
+it can tell quotation from abuse, it also learns from QUOTED sampled toxic texts whose hits were put into
+quotation marks, as clean ones.
 
-Scale: the automaton (at most TERMS terms) and the model are broadcast; texts are read once more for
-scoring, without a shuffle, in slices.
+Learning sees at most SAMPLE labelled rows of either class, the least by a hash of doc_id, of those whose
+crc32(doc_id) mod 5 is not 0, and SAMPLE_BYTES of their texts: in that order, a text that doesn't fit into
+what its class has left is passed over. labels, lang, source and doc_id are never inputs of a score.
+
+Scale: the automaton and the model are broadcast; texts are read once more for scoring, without a shuffle,
+in slices. Learning holds the sampled texts and an integer for each of their words.
 
 Edge cases: a null or empty text has no hits and gets the score of that; an empty table gives an empty
 result; without labels of both classes every score is 0; several labels of a document count as toxic if
-any does; rows are independent; other columns are ignored.
+any does; of several texts of a doc_id the one with the least digest is learned; rows are independent;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,13 +41,18 @@ from .language_id import held_out
 from .token_count import classes
 
 SAMPLE = 2000
-TERMS = 120
+SAMPLE_BYTES = 32 << 20
+TERMS = 1000
+QUOTED = 300
 FUZZY = 5
 WINDOW = 6
 BEGINNINGS = range(4, 10)
 #: Standard deviations above chance, least documents and least share of the toxic ones, for a term.
 LEAST_Z, LEAST_DOCS, LEAST_SHARE = 6.0, 4, 0.01
-_QUOTES = np.array([0x22, 0xAB, 0xBB, 0x201C, 0x201D, 0x201E, 0x2018, 0x2019, 0x60], np.uint32)
+#: Marks that open and that close a quotation, and pairs of them.
+_OPEN = np.array([0x22, 0x60, 0xAB, 0xBB, 0x2018, 0x201A, 0x201C, 0x201D, 0x201E], np.uint32)
+_CLOSE = np.array([0x22, 0x60, 0xAB, 0xBB, 0x2018, 0x2019, 0x201C, 0x201D], np.uint32)
+_PAIRS = ('""', "\u201c\u201d", "\u2018\u2019", "\u00ab\u00bb", "\u201e\u201c")
 
 
 @lru_cache(1)
@@ -56,8 +65,8 @@ def lower_table() -> np.ndarray:
     return out
 
 
-def words(data: bytes, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(code points in lower case, start and end of each word, text of each word)."""
+def words(data: bytes, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(code points in lower case, start and end of each word, text of each word, start of each text and the end)."""
     points = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
     width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
     edges = np.searchsorted(np.concatenate([[0], np.cumsum(width)]), cut)
@@ -69,7 +78,7 @@ def words(data: bytes, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     start[1:] &= ~inside[:-1] | edge[1:n]
     end[:-1] &= ~inside[1:] | edge[1:n]
     s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
-    return lower_table()[points], s, e, np.searchsorted(edges, s, side="right") - 1
+    return lower_table()[points], s, e, np.searchsorted(edges, s, side="right") - 1, edges
 
 
 class Automaton:
@@ -172,46 +181,71 @@ class Automaton:
         return w[order], t[order], k[order]
 
 
-def learn_terms(docs: list[tuple[list[str], int]]) -> tuple[dict[str, float], dict[str, float]]:
+class Bags:
+    """The words of sampled texts as numbers, one after another, with the text of each."""
+
+    def __init__(self, texts: list[str]):
+        number: dict[str, int] = {}
+        parts = []
+        for t in texts:
+            data = t.encode(errors="replace")
+            points, s, e, *_ = words(data, np.array([0, len(data)])) if data else (np.zeros(0, np.uint32),) * 5
+            joined = points.astype("<u4").tobytes().decode("utf-32-le")
+            parts.append(np.fromiter((number.setdefault(joined[i:j], len(number)) for i, j in zip(s.tolist(), e.tolist(), strict=True)), np.int32, len(s)))
+        self.words = list(number)
+        self.at = np.concatenate([*parts, np.zeros(0, np.int32)])
+        self.text = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
+
+    def shares(self, of: np.ndarray, n: int, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(clean, toxic) texts of each of n terms, where of has the term of each word, or -1."""
+        term = of[self.at]
+        pair = np.unique(self.text[term >= 0].astype(np.int64) * n + term[term >= 0])
+        own = toxic[pair // n] > 0
+        return np.bincount(pair[~own] % n, minlength=n), np.bincount(pair[own] % n, minlength=n)
+
+    def beginnings(self, length: int) -> tuple[np.ndarray, list[str]]:
+        """(the beginning of each longer word, or -1; their spellings)."""
+        number: dict[str, int] = {}
+        of = np.fromiter((number.setdefault(w[:length], len(number)) if len(w) > length else -1 for w in self.words), np.int32, len(self.words))
+        return of, list(number)
+
+
+def learn_terms(bags: Bags, toxic: np.ndarray) -> tuple[dict[str, float], dict[str, float]]:
     """(whole words, beginnings) with their weights: log ratios of the shares of toxic and clean documents.
 
     A term needs LEAST_DOCS toxic documents, or LEAST_SHARE of them, and as many different neighbours, so that words of one text
-    that was copied often don't count; a beginning (marked *) needs as many different words.
+    that was copied often don't count; a beginning needs as many different words.
     """
-    total = Counter(y for _, y in docs)
-    forms = lambda w: [w, *(w[:n] + "*" for n in BEGINNINGS if len(w) > n)]
+    total = np.bincount(toxic, minlength=2)
     least = max(LEAST_DOCS, LEAST_SHARE * total[1])
-    toxic, clean = [set(ws) for ws, y in docs if y], [set(ws) for ws, y in docs if not y]
-    # toxic documents first, a length of beginnings after the other: a longer one needs its shorter one
-    tox = {w: n for w, n in Counter(w for ws in toxic for w in ws).items() if n >= least}
-    for n in BEGINNINGS:
-        found = Counter(b for ws in toxic for b in {w[:n] + "*" for w in ws if len(w) > n and (n == BEGINNINGS[0] or w[: n - 1] + "*" in tox)})
-        tox |= {b: k for b, k in found.items() if k >= least}
-    pure = Counter(t for ws in clean for t in {f for w in ws for f in forms(w) if f in tox})
-    seen = {t: (pure[t], n) for t, n in tox.items()}
+    far = lambda tox, clean: (tox - (e := total[1] * (clean + 1) / (total[0] + 2))) / np.sqrt(np.maximum(e, 0.05))
     rate = lambda n, k: (n + 0.5) / (total[k] + 1)
-    far = lambda tox, clean: (tox - (e := total[1] * (clean + 1) / (total[0] + 2))) / np.sqrt(max(e, 0.05))
-    likely = {t for t, (clean, tox) in seen.items() if len(t.rstrip("*")) >= 3 and far(tox, clean) >= LEAST_Z}
-    near, full = defaultdict(set), defaultdict(set)
-    for ws, y in docs:
-        if y:
-            for i, w in enumerate(ws):
-                for t in forms(w):
-                    if t in likely:
-                        near[t].add((ws[i - 1] if i else "", ws[i + 1] if i + 1 < len(ws) else ""))
-                        full[t].add(w)
-    found = {}
-    for t in likely:
-        tox = min(seen[t][1], len(near[t]))
-        if tox >= least and far(tox, seen[t][0]) >= LEAST_Z and (t[-1] != "*" or len(full[t]) >= LEAST_DOCS):
-            found[t] = (float(far(tox, seen[t][0])), float(np.log(rate(tox, 1)) - np.log(rate(seen[t][0], 0))))
-    chosen: dict[str, float] = {}
-    for t in sorted(found, key=lambda t: (-found[t][0], t)):
-        stem = t.rstrip("*")
-        others = [x.rstrip("*") for x in chosen if x[-1] == "*"]
-        if len(chosen) < TERMS and not any(stem.startswith(o) or (t[-1] == "*" and o.startswith(stem)) for o in others):
-            chosen[t] = found[t][1]
-    return {t: v for t, v in chosen.items() if t[-1] != "*"}, {t[:-1]: v for t, v in chosen.items() if t[-1] == "*"}
+    v = len(bags.words)
+    first = np.concatenate([[True], bags.text[1:] != bags.text[:-1]]) if len(bags.at) else np.zeros(0, bool)
+    before, after = np.roll(bags.at, 1).astype(np.int64), np.roll(bags.at, -1).astype(np.int64)
+    before[first], after[np.roll(first, -1)] = v, v
+    context = before * (v + 1) + after
+    own = toxic[bags.text] > 0
+    found: list[tuple[float, str, bool, float]] = []
+    for length in (0, *BEGINNINGS):
+        of, spelled = bags.beginnings(length) if length else (np.arange(v, dtype=np.int32), bags.words)
+        if not spelled:
+            continue
+        clean, tox = bags.shares(of, len(spelled), toxic)
+        likely = np.flatnonzero((tox >= least) & (far(tox, clean) >= LEAST_Z))
+        term = of[bags.at]
+        for t in likely.tolist():
+            if len(spelled[t]) < 3:
+                continue
+            here = np.flatnonzero((term == t) & own)
+            n = min(int(tox[t]), len(np.unique(context[here])))
+            if n >= least and far(n, clean[t]) >= LEAST_Z and (not length or len(np.unique(bags.at[here])) >= LEAST_DOCS):
+                found.append((float(far(n, clean[t])), spelled[t], bool(length), float(np.log(rate(n, 1)) - np.log(rate(clean[t], 0)))))
+    chosen: list[tuple[str, bool, float]] = []
+    for _, stem, begins, weight in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
+        if len(chosen) < TERMS and not any(b and (stem.startswith(o) or (begins and o.startswith(stem))) for o, b, _ in chosen):
+            chosen.append((stem, begins, weight))
+    return {t: w for t, b, w in chosen if not b}, {t: w for t, b, w in chosen if b}
 
 
 class Model:
@@ -220,35 +254,43 @@ class Model:
         self.automaton, self.weight = Automaton([], []), (np.zeros(0), np.zeros(0))
         if not self.ready:
             return
-        bags, same = [], {}
-        for t in texts:
-            data = t.encode()
-            points, s, e, _ = words(data, np.array([0, len(data)])) if data else (np.zeros(0, np.uint32),) * 4
-            joined = points.astype("<u4").tobytes().decode("utf-32-le")
-            bags.append([same.setdefault(w, w) for w in (joined[i:j] for i, j in zip(s, e, strict=True))] if data else [])
-        whole, begin = learn_terms(list(zip(bags, toxic, strict=True)))
-        clean = set().union(*(b for b, y in zip(bags, toxic, strict=True) if not y))
+        y = np.array(toxic, np.int64)
+        bags = Bags(texts)
+        whole, begin = learn_terms(bags, y)
+        clean = np.unique(bags.at[y[bags.text] == 0])
+        clean_words = [bags.words[i] for i in clean]
+        del bags
         self.weight = (np.array(list(whole.values())), np.array(list(begin.values())))
-        self.automaton = Automaton(list(whole), list(begin), frozenset(w for w in clean if FUZZY - 1 <= len(w) <= 24 and w not in whole and self._near(w, whole)))
-        x, y = self.features(pa.array(texts, pa.large_string())), np.array(toxic, float)
+        self.automaton = Automaton(list(whole), list(begin))
+        # words of clean texts that are one edit from a term
+        points = np.frombuffer("".join(clean_words).encode("utf-32-le"), np.uint32)
+        end = np.cumsum([len(w) for w in clean_words])
+        near, _, kind = self.automaton.run(points, end - [len(w) for w in clean_words], end) if clean_words else (np.zeros(0, np.int64),) * 3
+        self.automaton.exceptions = frozenset(clean_words[i] for i in near[kind == 1])
+        quoted = [q for t, k in zip(texts, toxic, strict=True) if k for q in [self.quotation(t, len(t) % len(_PAIRS))] if q != t][:QUOTED]
+        x = np.concatenate([self.features(pa.array(texts, pa.large_string())), self.features(pa.array(quoted, pa.large_string()))])
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
-        self.fit((x - self.mean) / self.scale, y)
-
-    @staticmethod
-    def _near(w: str, whole: dict[str, float]) -> bool:
-        """Is w one edit from a term?"""
-        for t in whole:
-            if len(t) < FUZZY or t[0] != w[0] or abs(len(t) - len(w)) > 1:
-                continue
-            k = next((i for i, (a, b) in enumerate(zip(w, t, strict=False)) if a != b), min(len(w), len(t)))
-            if w[k + 1 :] == t[k + 1 :] or w[k:] == t[k + 1 :] or w[k + 1 :] == t[k:]:
-                return True
-        return False
-
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 3000) -> None:
+        # sampling takes each class on its own; one to three holds clean documents harder, and so do quotations, together one fourth
+        share = np.concatenate([np.where(y == 1, 0.25 / y.sum(), 0.5 / (1 - y).sum()), np.full(len(quoted), 0.25 / max(len(quoted), 1))])
+        self.fit((x - self.mean) / self.scale, np.concatenate([y, np.zeros(len(quoted))]), share / share.sum())
+
+    def quotation(self, text: str, style: int) -> str:
+        """text with all its hits between quotation marks: alone, or with the next words of their window."""
+        data = text.encode(errors="replace")
+        points, s, e, *_ = words(data, np.array([0, len(data)])) if data else (np.zeros(0, np.uint32),) * 5
+        hits = np.unique(self.automaton.run(points, s, e)[0]) if len(s) else []
+        out, at, opens = [], 0, _PAIRS[style]
+        for n, w in enumerate(hits):
+            lo, hi = (w, w) if n % 2 else (max(w - 2, 0), min(w + 2, len(s) - 1))
+            if s[lo] < at:
+                lo = w
+            if s[w] >= at:
+                out += [text[at : s[lo]], opens[0], text[s[lo] : e[hi]], opens[1]]
+                at = e[hi]
+        return "".join([*out, text[at:]])
+
+    def fit(self, x: np.ndarray, y: np.ndarray, share: np.ndarray, steps: int = 3000) -> None:
         self.w, self.b = np.zeros(x.shape[1]), 0.0
-        # sampling takes each class on its own; one to three holds clean documents harder
-        share = np.where(y == 1, 0.25 / max(y.sum(), 1), 0.75 / max((1 - y).sum(), 1))
         for i in range(steps):
             g = (1 / (1 + np.exp(-np.clip(x @ self.w + self.b, -30, 30))) - y) * share
             rate = 2.0 / (1 + i / 500)
@@ -258,37 +300,42 @@ class Model:
     def features(self, column: pa.Array) -> np.ndarray:
         """A row for each text."""
         raw, offsets = _words.buffers(column)
-        out = np.zeros((len(column), 6))
+        out = np.zeros((len(column), 8))
         for i, j in _words.slices(offsets):
             part, cut = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             if not len(part):
                 continue
-            points, start, end, text = words(part.tobytes(), cut)
+            points, start, end, text, edges = words(part.tobytes(), cut)
             n = np.bincount(text, minlength=j - i)
             w, term, kind = self.automaton.run(points, start, end)
             if not len(w):
                 continue
-            value = np.where(kind == 2, 0.0, 1.0)
-            value[kind < 2] = self.weight[0][term[kind < 2]]
+            value = np.where(kind == 2, 0.0, np.where(kind == 1, 0.9, 1.0))
+            value[kind < 2] *= self.weight[0][term[kind < 2]]
             value[kind == 2] = self.weight[1][term[kind == 2]]
-            value *= np.where(self.quoted(points, start, end, text, w), 0.5, 1.0) * np.where(kind == 1, 0.9, 1.0)
-            owner, whole = text[w], kind < 2
+            owner, whole, quoted = text[w], kind < 2, self.quoted(points, start, end, text, w, edges)
             own = lambda mask, v: np.bincount(owner[mask], v[mask], minlength=j - i)  # noqa: B023, E731
             size = np.maximum(n, 1)
-            a, b = own(whole, value), own(~whole, value)
-            out[i:j] = np.stack([np.log1p(a), a > 0, a / np.sqrt(size), np.log1p(b), np.log1p(own(~whole, np.ones(len(w)))), np.minimum(10 * b / size, 3)], 1)
+            a, b = own(whole & ~quoted, value), own(~whole & ~quoted, value)
+            plain = [np.log1p(a), a > 0, a / np.sqrt(size), np.log1p(b), np.log1p(own(~whole & ~quoted, np.ones(len(w)))), np.minimum(10 * b / size, 3)]
+            out[i:j] = np.stack([*plain, np.log1p(own(whole & quoted, value)), np.log1p(own(~whole & quoted, value))], 1)
         return out
 
-    def quoted(self, points: np.ndarray, start: np.ndarray, end: np.ndarray, text: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Whether each word of w stands in quotation: marks before and after it within WINDOW words of its text, or on it."""
-        marks = np.concatenate([[0], np.cumsum(np.isin(points, _QUOTES))])
-        if not marks[-1]:
+    def quoted(self, points: np.ndarray, start: np.ndarray, end: np.ndarray, text: np.ndarray, w: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Whether each word of w stands in quotation: opened before it and closed after it, within WINDOW words of its text.
+        An opening mark doesn't follow a letter or digit, a closing one isn't followed by one: apostrophes are neither."""
+        inside = classes()[points] <= 1
+        ahead, behind = np.append(inside[1:], False), np.concatenate([[False], inside[:-1]])
+        ahead[edges[1:][edges[1:] > 0] - 1], behind[edges[:-1][edges[:-1] < len(points)]] = False, False
+        opens = np.concatenate([[0], np.cumsum(np.isin(points, _OPEN) & ~behind)])
+        closes = np.concatenate([[0], np.cumsum(np.isin(points, _CLOSE) & ~ahead)])
+        if not opens[-1] or not closes[-1]:
             return np.zeros(len(w), bool)
         last = len(start) - 1
         lo, hi = np.maximum(w - WINDOW, 0), np.minimum(w + WINDOW, last)
         lo, hi = np.maximum(lo, np.searchsorted(text, text[w], side="left")), np.minimum(hi, np.searchsorted(text, text[w], side="right") - 1)
-        before = marks[start[w]] - marks[np.maximum(start[lo] - 1, 0)]
-        after = marks[np.minimum(end[hi] + 1, len(points))] - marks[end[w]]
+        before = opens[start[w]] - opens[np.maximum(start[lo] - 2, edges[text[w]])]  # a mark and a space
+        after = closes[np.minimum(end[hi] + 2, edges[text[w] + 1])] - closes[end[w]]
         return (before > 0) & (after > 0)
 
     def score(self, column: pa.Array) -> np.ndarray:
@@ -298,18 +345,29 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.w + self.b, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most `sample` labelled rows of either class outside the held-out fold."""
-    marks = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("y"))
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> Model:
+    """A model from at most `sample` labelled rows of either class outside the held-out fold, and `most` bytes of text."""
+    marks = labels.select(F.col("doc_id").alias("_id"), "toxic").where(F.col("toxic").isNotNull() & ~held_out(F.col("_id"))).groupBy("_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
     order = F.xxhash64(F.col("_id").cast("string"), F.lit(6))
     picked = None
     for y in (0, 1):
         part = marks.where(F.col("y") == y).select("_id", "y", order.alias("h")).orderBy("h", "_id").limit(sample)
         picked = part if picked is None else picked.union(part)
-    # at most 2 * sample ids: a proven bound for the broadcast
-    rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("h", "_id", "y", "text").orderBy("h", "_id", "text").limit(4 * sample)
-    found = rows.collect()
-    return Model([r.text for r in found], [r.y for r in found])
+    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_digest"), "text")
+    # at most 2 * sample ids: a proven bound for the broadcast and for what comes back
+    sizes = texts.join(F.broadcast(picked), "_id").groupBy("h", "_id", "y").agg(F.min(F.struct("_digest", F.octet_length("text").alias("size"))).alias("least"))
+    left, chosen = {0: most // 2, 1: most // 2}, {}
+    for r in sorted(sizes.collect(), key=lambda r: (r["h"], r["_id"])):
+        if r["least"]["size"] <= left[r["y"]]:
+            left[r["y"]] -= r["least"]["size"]
+            chosen[r["_id"]] = (r["least"]["_digest"], r["y"])
+    if not chosen:
+        return Model([], [])
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    wanted = spark.createDataFrame([(i, d) for i, (d, _) in chosen.items()], f"_id {kind}, _digest long")
+    rows = texts.join(F.broadcast(wanted), ["_id", "_digest"]).groupBy("_id").agg(F.first("text").alias("text")).collect()
+    text = {r["_id"]: r["text"] for r in rows}
+    return Model([text[i] for i in chosen if i in text], [y for i, (_, y) in chosen.items() if i in text])
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
