@@ -6,12 +6,17 @@ follow the token before it: two tokens can be neighbours iff merging their joine
 So a transducer can read bytes: a state is the longest suffix that begins some token, with the last token
 and the relative count at each place where a later token could start; a transition carries the change of
 the token count. States and transitions are compiled when first met and kept for the worker's life, up to
-MAX_STATES, when compilation starts anew.
+MAX_STATES, when those in use are kept and compilation starts anew, also in the middle of a text.
 
 Chunks are the pre-tokens: each resets the state, so its state map is constant, and composing chunk maps
 by prefix scan is a segmented sum of their counts. All chunks of a slice run side by side, a byte at a time.
+A pre-token of more than CHUNK bytes is cut into chunks that don't reset the state. Their maps are compiled
+for the states that chunks before them can end in, all side by side, until the maps compose from the first
+chunk to the last; equal chunks share a map, so a text of one letter needs few.
 
-Scale: inside the row, without a shuffle. Memory is bounded by the slice (or the longest text) and MAX_STATES.
+Scale: inside the row, without a shuffle. A longer text than a slice is cut where a single space stands
+between ASCII letters or digits, which always ends a pre-token, so memory is bounded by the slice (or the
+longest stretch without such a place), MAX_STATES and the chunks of a slice.
 
 Edge cases: a null or empty text has 0 bytes and 0 tokens; special tokens in a text count as one token each,
 as the library has it by default; an empty table gives an empty result; every row gets its own result;
@@ -21,6 +26,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,6 +40,9 @@ from ._common import bounded_batches, read
 
 LIMIT = 512
 MAX_STATES = 150_000
+#: Bytes of a chunk inside a long pre-token, and chunks that run side by side.
+CHUNK, SIDE_BY_SIDE = 2048, 1 << 20
+_CUT = re.compile(rb"[0-9A-Za-z] (?=[0-9A-Za-z])")
 _LETTER, _NUMBER, _OTHER, _BLANK = range(4)
 #: Unicode's White_Space.
 _WHITE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -56,6 +65,10 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Nothing read.
+START = (b"", ((0, b"", 0),))
+
+
 class Transducer:
     """Counts the tokens of byte strings for one vocabulary file."""
 
@@ -70,15 +83,23 @@ class Transducer:
         self.rank = {(code(a), code(b)): i for i, (a, b) in enumerate(pairs)}
         self.begins = {t[:i] for t in self.vocab for i in range(len(t) + 1)}
         self.longest = max(map(len, self.vocab))
-        self.neighbours: dict[tuple[bytes, bytes], bool] = {}
+        self.column = np.full(256, -1, np.int16)  # of a byte in the table, from its first use on
+        self.table = np.zeros((0, 64), np.int32)
         self.reset()
 
     def reset(self) -> None:
+        self.neighbours: dict[tuple[bytes, bytes], bool] = {}
         self.ids: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.column = np.full(256, -1, np.int16)  # of a byte in the table, from its first use on
-        self.table = np.full((1024, 64), -1, np.int32)  # next state << 8 | change of the count + 128
-        self.state_id((b"", ((0, b"", 0),)))
+        self.table = np.full((1024, self.table.shape[1]), -1, np.int32)  # next state << 8 | change of the count + 128
+        self.state_id(START)
+
+    def renewed(self, state: np.ndarray) -> np.ndarray:
+        """The given states after a reset."""
+        used, place = np.unique(state, return_inverse=True)
+        kept = [self.states[i] for i in used]
+        self.reset()
+        return np.array([self.state_id(x) for x in kept], np.int32)[place]
 
     def state_id(self, state: tuple) -> int:
         if state not in self.ids:
@@ -129,20 +150,54 @@ class Transducer:
         self.table[state, self.column[byte]] = new << 8 | change + 128
 
     def run(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The number of tokens of each chunk raw[start:end]."""
-        if len(self.states) > MAX_STATES:
-            self.reset()
+        """The number of tokens of each pre-token raw[start:end]."""
+        count = np.zeros(len(start), np.int64)
+        short = np.flatnonzero(end - start <= CHUNK)
+        for i in range(0, len(short), SIDE_BY_SIDE):
+            rows = short[i : i + SIDE_BY_SIDE]
+            count[rows] = self.read(raw, start[rows], end[rows])[0]
+        for i in np.flatnonzero(end - start > CHUNK):
+            count[i] = self.composed(raw[start[i] : end[i]])
+        return count
+
+    def composed(self, raw: np.ndarray) -> int:
+        """The number of tokens of one long pre-token, by maps of its chunks."""
+        number: dict[bytes, int] = {}
+        chunks = [number.setdefault(raw[i : i + CHUNK].tobytes(), len(number)) for i in range(0, len(raw), CHUNK)]
+        place = {c: i * CHUNK for i, c in reversed(list(enumerate(chunks)))}
+        maps: dict[int, dict[tuple, tuple[int, tuple]]] = {c: {} for c in place}
+        todo = {(c, START): None for c in place}
+        while todo:
+            for i in range(0, len(todo), SIDE_BY_SIDE):
+                part = list(todo)[i : i + SIDE_BY_SIDE]
+                at = np.array([place[c] for c, _ in part])
+                n, ends = self.read(raw, at, np.minimum(at + CHUNK, len(raw)), [s for _, s in part])
+                for (c, s), k, e in zip(part, n.tolist(), ends, strict=True):
+                    maps[c][s] = (k, self.states[e])
+            todo, state, total = {}, START, 0
+            for c in chunks:
+                if state not in maps[c]:
+                    todo[c, state] = None
+                    state = next(reversed(maps[c].values()))[1]  # a guess at where it will end
+                else:
+                    k, state = maps[c][state]
+                    total += k
+        return total
+
+    def read(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, states: list[tuple] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(change of the count, last state) of each raw[start:end], read side by side from the given states."""
         for byte in np.flatnonzero(np.bincount(raw, minlength=256) * (self.column < 0)):
             self.column[byte] = self.column.max() + 1
             if self.column[byte] == self.table.shape[1]:
                 self.table = np.concatenate([self.table, np.full((len(self.table), 64), -1, np.int32)], 1)
-        count = np.zeros(len(start), np.int64)
         order = np.argsort(start - end, kind="stable")  # the longest first
         length = (end - start)[order]
-        at, state = start[order], np.zeros(len(start), np.int32)
-        n, p = len(start), 0
+        at, state = start[order], np.zeros(len(start), np.int32) if states is None else np.array([self.state_id(x) for x in states], np.int32)[order]
+        n, p = int(np.searchsorted(-length, 0, side="left")), 0
         total = np.zeros(len(start), np.int32)
         while n:
+            if len(self.states) > MAX_STATES + len(state):
+                state = self.renewed(state)
             byte = raw[at[:n] + p]
             now = state[:n]
             new = self.table[now, self.column[byte]]
@@ -154,13 +209,18 @@ class Transducer:
             state[:n] = new >> 8
             p += 1
             n = int(np.searchsorted(-length, -p, side="left"))
-        count[order] = total
-        return count
+        count, last = np.zeros(len(start), np.int64), np.zeros(len(start), np.int32)
+        count[order], last[order] = total, state
+        return count, last
 
     def counts(self, column: pa.Array) -> np.ndarray:
         """The number of tokens of each text."""
         raw, offsets = _words.buffers(column)
-        out = np.zeros(len(column), np.int64)
+        offsets, owner = parts(raw, offsets)
+        return np.bincount(owner, self.part_counts(raw, offsets), len(column)).astype(np.int64) if len(owner) else np.zeros(len(column), np.int64)
+
+    def part_counts(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(offsets) - 1, np.int64)
         for i, j in _words.slices(offsets):
             part, cut = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             if not len(part):
@@ -189,6 +249,22 @@ class Transducer:
         return out
 
 
+def parts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets of the parts of all texts, the text of each part): texts longer than a slice are cut where a pre-token ends."""
+    cuts, owner = [0], []
+    for i, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        if hi - lo > _words.SLICE:
+            data = raw[lo:hi].tobytes()
+            at = 0
+            while m := _CUT.search(data, at + _words.SLICE):
+                at = m.start() + 1
+                cuts.append(lo + at)
+                owner.append(i)
+        cuts.append(hi)
+        owner.append(i)
+    return np.array(cuts, np.int64), np.array(owner, np.int64)
+
+
 def pretokens(data: bytes, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte ranges of the pre-tokens of UTF-8 text, where a new text begins at each edge."""
     points = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
