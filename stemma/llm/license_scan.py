@@ -1,10 +1,10 @@
 r"""License scans by ordered signature rules. DataFrame operations only.
 
 A text is lower-cased (A-Z) and its words, [^\x00-\x2F\x3A-\x60\x7B-\x7F]+, are written with a space on
-either side, " w1  w2  w3 ", so that a rule is a regular expression over whole words. The rules, some
-hundreds, come from RULE_FAMILIES (the names of each license) and TEMPLATES (the phrases that licenses are
-named in); each is tried only on texts that hold its keyword, and texts without any of the anchor words
-are not normalized at all. A detection inside the interval of another is suppressed, as is the one of
+either side, " w1  w2  w3 ", so that a rule is a regular expression over whole words. The rules, some three
+hundred, were written by hand (license_rules): sentences of license texts and notices first, then names
+with their versions, then short names; each is tried only on texts that hold its keyword, and texts without
+any of the anchors are not normalized at all. A detection inside the interval of another is suppressed, as is the one of
 lower priority where two intervals are equal; partly overlapping ones both stay. The three base phrases
 are rules too and are never suppressed.
 
@@ -24,79 +24,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import let, read
+from .license_rules import RULES
 
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Over the raw text: any rule's match holds one of these.
-ANCHORS = r"(?i)licen|spdx|cc" + _GAP + "by"
+#: Over the raw text in lower case: any rule's match holds one of these, or "cc" and "by" with a gap between them.
+ANCHORS = ("licen", "spdx", "gpl", "bsd", "apache", "mpl", "epl", "software", "hereby", "copyright", "domain", "creative", "cc0", "redistribut", "exception", "permission", "consortium", "proprietary", "unauthorized", "perl", "wtfpl", "gfdl", "cddl", "eupl", "openrail")
+CC_BY = "cc" + _GAP + "by"
 
 #: Base phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: License -> (keyword, names): a name is words; (a|b) are alternatives, ? makes a word optional.
-RULE_FAMILIES = {
-    "mit": ("mit", ["mit"]),
-    "apache-1.1": ("apache", ["apache software? 1 1", "apache (version|v) 1 1"]),
-    "apache-2": ("apache", ["apache 2 0?", "apache (version|v) 2 0?", "apache license version? 2 0?", "apache software license version? 2 0?"]),
-    "bsd-2-clause": ("bsd", ["bsd 2 clause", "2 clause bsd", "simplified bsd", "freebsd"]),
-    "bsd-3-clause": ("bsd", ["bsd 3 clause", "3 clause bsd", "(new|modified|revised) bsd"]),
-    "bsd-4-clause": ("bsd", ["bsd 4 clause", "4 clause bsd", "original bsd"]),
-    "bsd": ("bsd", ["bsd", "bsd style"]),
-    "0bsd": ("0bsd", ["0bsd"]),
-    "gpl-2": ("gpl", ["gpl version? 2 0?", "gnu gpl version? 2 0?", "gpl v2", "gplv2"]),
-    "gpl-3": ("gpl", ["gpl version? 3 0?", "gnu gpl version? 3 0?", "gpl v3", "gplv3"]),
-    "gnu-gpl": ("gnu", ["gnu general public", "gnu gpl"]),
-    "gnu-gpl-2": ("gnu", ["gnu general public license (version|v) 2"]),
-    "gnu-gpl-3": ("gnu", ["gnu general public license (version|v) 3"]),
-    "lgpl-2.1": ("lgpl", ["lgpl version? 2 1", "gnu lgpl version? 2 1", "lgpl v2 1"]),
-    "lgpl-3": ("lgpl", ["lgpl version? 3 0?", "gnu lgpl version? 3 0?", "lgpl v3"]),
-    "gnu-lgpl": ("lesser", ["gnu lesser general public"]),
-    "agpl-3": ("agpl", ["agpl version? 3 0?", "gnu agpl version? 3 0?", "agpl v3"]),
-    "gnu-agpl": ("affero", ["gnu affero general public", "affero general public"]),
-    "gfdl": ("documentation", ["gnu free documentation"]),
-    "mpl-1.1": ("mozilla", ["mozilla public license version? 1 1"]),
-    "mpl-2": ("mozilla", ["mozilla public license version? 2 0?", "mozilla public"]),
-    "epl-1": ("eclipse", ["eclipse public license version? 1 0?"]),
-    "epl-2": ("eclipse", ["eclipse public license version? 2 0?", "eclipse public"]),
-    "cddl-1": ("cddl", ["cddl version? 1 0?", "cddl"]),
-    "cpl-1": ("common", ["common public license version? 1 0?", "common public"]),
-    "isc": ("isc", ["isc"]),
-    "zlib": ("zlib", ["zlib", "zlib libpng"]),
-    "boost-1": ("boost", ["boost software", "boost software license version? 1 0?", "boost"]),
-    "unlicense": ("unlicense", ["unlicense"]),
-    "wtfpl": ("wtfpl", ["wtfpl"]),
-    "artistic-2": ("artistic", ["artistic 2 0?", "artistic license version? 2 0?", "artistic"]),
-    "psf-2": ("python", ["python software foundation", "python 2 0?", "python"]),
-    "php-3": ("php", ["php 3 0?", "php license version? 3 0?", "php"]),
-    "ruby": ("ruby", ["ruby"]),
-    "vim": ("vim", ["vim"]),
-    "openssl": ("openssl", ["openssl"]),
-    "postgresql": ("postgresql", ["postgresql"]),
-    "ncsa": ("ncsa", ["ncsa", "university of illinois ncsa open source"]),
-    "x11": ("x11", ["x11"]),
-    "ofl-1.1": ("font", ["sil open font", "sil open font license version? 1 1"]),
-    "odbl": ("database", ["open database", "open data commons open database"]),
-    "eupl-1.2": ("eupl", ["eupl version? 1 2", "eupl"]),
-    "ms-pl": ("microsoft", ["microsoft public"]),
-    "afl-3": ("academic", ["academic free", "academic free license version? 3 0?"]),
-    "cc0": ("cc0", ["cc0 1? 0?"]),
-    "cc-by": ("cc", ["cc by 4 0", "cc by 3 0", "cc by"]),
-    "cc-by-sa": ("cc", ["cc by sa 4 0", "cc by sa 3 0", "cc by sa"]),
-    "cc-by-nd": ("cc", ["cc by nd 4 0", "cc by nd 3 0", "cc by nd"]),
-    "cc-by-nc": ("cc", ["cc by nc 4 0", "cc by nc 3 0"]),
-    "cc-by-nc-sa": ("cc", ["cc by nc sa 4 0", "cc by nc sa 3 0", "cc by nc sa"]),
-    "cc-by-nc-nd": ("cc", ["cc by nc nd 4 0", "cc by nc nd 3 0", "cc by nc nd"]),
-    "creative-commons": ("creative", ["creative commons", "creative commons attribution", "creative commons attribution 4 0 international"]),
-    "proprietary": ("proprietary", ["proprietary"]),
-}
-#: Phrase around a name, its weight, in order of priority. Every phrase holds an anchor word.
-TEMPLATES = (
-    ("spdx license identifier {}", 0.95),
-    ("(licensed|licenced) under (the|a)? {} (license|licence)?", 0.85),
-    ("under the terms of the {} (license|licence)", 0.85),
-    ("under (the|a) {} (license|licence)", 0.8),
-    ("{} (license|licence|licensed)", 0.6),
-)
-#: Names that stand for a license without a phrase around them.
-BARE = ("cc-by", "cc-by-sa", "cc-by-nd", "cc-by-nc", "cc-by-nc-sa", "cc-by-nc-nd", "unlicense")
 BASE_WEIGHT = 0.9
 
 
@@ -104,35 +40,27 @@ def _pattern(words: str) -> str:
     out = ""
     for w in re.findall(r"\([^)]*\)\??|\S+", words):
         body = w.removesuffix("?")
-        body = f" {'(?:' + body[1:-1] + ')' if body[0] == '(' else body} "
-        out += f"(?:{body})?" if w[-1] == "?" else body
+        body = f" {'(?:' + body[1:-1].replace(' ', '  ') + ')' if body[0] == '(' else body} "
+        out += "(?: [^ ]+ ){0,12}" if w == "..." else f"(?:{body})?" if w[-1] == "?" else body
     return out
 
 
-def _key(keyword: str, name: str) -> str:
-    """A word that each match of the name holds."""
-    return keyword if keyword in name.split() else name.split()[0]
-
-
 def rules() -> list[tuple[int, str, str, str, float, bool]]:
-    """(priority, keyword, label, pattern, weight, base), the most particular first."""
+    """(priority, keyword, label, pattern, weight, base), the most particular first; the base phrases before all."""
     found = [(words.split()[-2] if label == "mit" else words.split()[0], label, _pattern(words), BASE_WEIGHT, True) for words, label in BASE]
-    for phrase, weight in TEMPLATES:
-        for label, (keyword, names) in RULE_FAMILIES.items():
-            found += [(_key(keyword, name), label, _pattern(phrase.format(name)), weight, False) for name in names]
-    for label in BARE:
-        keyword, names = RULE_FAMILIES[label]
-        found += [(_key(keyword, name), label, _pattern(name), 0.5, False) for name in names]
+    for line in RULES.strip().split("\n"):
+        label, keyword, weight, words = line.split("; ")
+        found.append((keyword, label, _pattern(words), float(weight), False))
     return [(i, *x) for i, x in enumerate(found)]
 
 
 def detections(docs: DataFrame) -> DataFrame:
     """_id, _text, rule, label, weight, base, first, last (word numbers from 0): one row for each match of each rule."""
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    bare = F.regexp_replace(lower, f"^{_GAP}|{_GAP}$", "")
-    norm = F.concat(F.lit(" "), F.regexp_replace(bare, _GAP, "  "), F.lit(" "))
+    norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, _GAP, "  ")), F.lit(" "))
     keywords = sorted({r[1] for r in rules()})
-    found = docs.where(F.col("text").rlike(ANCHORS)).select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), norm.alias("norm"))
+    anchored = let(F.lower("text"), lambda t: F.exists(F.array(*[F.lit(a) for a in ANCHORS]), lambda a: F.contains(t, a)) | (F.contains(t, F.lit("cc")) & t.rlike(CC_BY)))
+    found = docs.where(F.col("text").isNotNull() & anchored).select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), norm.alias("norm"))
     found = found.withColumn("kw", F.explode(let(F.col("norm"), lambda t: F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(t, F.concat(F.lit(" "), k, F.lit(" ")))))))
     table = found.sparkSession.createDataFrame(rules(), "rule int, kw string, label string, pattern string, weight double, base boolean")
     found = found.join(F.broadcast(table), "kw")  # constant: one row for each rule
@@ -184,7 +112,7 @@ WITH r(rule, kw, label, pattern, weight, base) AS (VALUES
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
 ), n AS (
   SELECT doc_id, len(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS n_words,
-    ' ' || regexp_replace(regexp_replace(t, '^{gap}|{gap}$', '', 'g'), '{gap}', '  ', 'g') || ' ' AS norm FROM d
+    ' ' || trim(regexp_replace(t, '{gap}', '  ', 'g')) || ' ' AS norm FROM d
 ), m AS (
   SELECT doc_id, rule, label, weight, base, norm, regexp_extract_all(norm, pattern) AS hits, string_split_regex(norm, pattern) AS gaps
   FROM n JOIN r ON contains(norm, ' ' || kw || ' ')
