@@ -5,17 +5,19 @@ path of tags (and class, id and role words) above it. A bidirectional LSTM in nu
 each block (its hashed path, its hashed words, its place, size and share of link text) and labels every
 block as article or not, with the whole page as context. The article's blocks are joined by a space.
 
-The labeller is trained here on generated pages of many layouts, and on at most SAMPLE pages of the table
-(the least by a hash of page_id). The generator knows its labels; the sampled pages take theirs from what
-the markup says outright (nav, footer, aside, a class of adverts and so on), and the network learns to
-read such paths together with wording and neighbours.
+The labeller is trained here on generated pages of many layouts and languages, with and without article
+markup, and on at most SAMPLE pages of the table (the least by a hash of page_id) of up to SAMPLE_BYTES
+together. The generator knows its labels. A sampled page teaches only where its markup says outright what a
+block is: inside an article or main element, or in a nav, a footer, an element named for adverts and so on;
+its other blocks are read as context. Pages of more than WINDOW blocks are learned in windows.
 
 Scale: the weights (some 10,000 numbers) are broadcast; pages are read once more, without a shuffle, and
-labelled in groups of like length. Memory is bounded by an Arrow batch, or by the longest page.
+labelled in groups of like length. Memory is bounded by an Arrow batch, or by the longest page: reading is
+linear in its length, and a path is a vector that an element shares with what it adds nothing to.
 
 Edge cases: null, empty or article-less html gives an empty text; broken markup is read as browsers do for
-the common cases (unclosed p, li, td; stray end tags; quotes in attributes; an unclosed script or comment
-runs to the end); an empty table gives an empty result; rows are independent; other columns are ignored.
+the common cases (unclosed p, li, td; stray end tags; quotes in attributes; an unclosed script, comment or
+tag runs to the end); an empty table gives an empty result; rows are independent; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import html as html_lib
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,12 +36,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
-from ._common import bounded_batches, hashed_sample, read
+from ._common import bounded_batches, read
 
 SAMPLE = 200
-GENERATED = 1500
-HIDDEN = 16
-PATH_DIM, WORD_DIM = 96, 16
+SAMPLE_BYTES = 16 << 20
+WINDOW = 400
+GENERATED = 3500
+HIDDEN = 20
+PATH_DIM, WORD_DIM = 192, 16
 #: Elements whose content isn't text of the page.
 RAW = frozenset("script style noscript template textarea title svg math iframe object select datalist canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,28 +53,60 @@ _P = frozenset("address article aside blockquote center details dialog dir div d
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Marks of what isn't the article, as tags and as words of class, id or role.
 AWAY_TAGS = frozenset("nav footer aside form dialog menu button label search".split())
-AWAY_WORDS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice notices alert popup modal newsletter subscribe sidebar side widget menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments reply replies respond discussion share social related recommended login signup search form toolbar pagination legal copyright".split())
+AWAY_WORDS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice notices alert popup modal newsletter subscribe sidebar side widget menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments reply replies respond discussion share social related recommended login signup search form toolbar pagination legal copyright disqus trackbacks teaser outbrain taboola skip".split())
+#: The same in other languages, and names of the article's element, for generated pages.
+AWAY_ABROAD = "werbung anzeige kommentare kommentar fusszeile seitenleiste navigation hinweis publicite commentaires commentaire pied barre laterale avis publicidad comentarios comentario pie lateral anuncio aviso commenti reclame reacties zijbalk".split()
+MAIN_WORDS = "content article post entry story body text main page detail news inhalt hauptteil hauptinhalt beitrag artikel contenu corps texte contenido cuerpo articulo noticia entrada contenuto testo inhoud bericht".split()
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|<[!?/][^>]*>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_REST = re.compile(r"(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+>")
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
+class Path:
+    """An open element: its own words, what is above it, and the vector of all distinct words."""
+
+    __slots__ = ("name", "words", "above", "new", "vector")
+
+    def __init__(self, name: str, words: list[str], above: Path | None, open_: Counter):
+        self.name, self.words, self.above = name, words, above
+        self.new = [w for w in dict.fromkeys(words) if not open_[w]]
+        self.vector = above.vector if above else _NOTHING
+        if self.new:
+            self.vector = self.vector + path_vector(tuple(self.new))
+
+    def all(self) -> tuple[str, ...]:
+        out, at = [], self
+        while at:
+            out.append(at.words)
+            at = at.above
+        return tuple(w for words in reversed(out) for w in words)
+
+
 def blocks(html: str) -> tuple[list[tuple[str, ...]], list[str], list[float]]:
     """(paths, texts, share of link text) of a page's leaf blocks, in page order."""
+    paths, texts, links = leaves(html)
+    return [p.all() if p else () for p in paths], texts, links
+
+
+def leaves(html: str) -> tuple[list[Path | None], list[str], list[float]]:
+    """blocks, with paths as they are read."""
     paths, texts, links = [], [], []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Path] = []
+    open_: Counter = Counter()
     buffer: list[str] = []
-    linked = 0
-    in_link = 0
+    endless: set[str] = set()  # names of raw elements without an end tag from here on
+    linked = in_link = 0
+    loose = False
 
-    def flush(path: tuple[str, ...]) -> None:
+    def flush() -> None:
         nonlocal linked
         if buffer:
             raw = "".join(buffer)
             text = " ".join(html_lib.unescape(raw).split())
             if text:
-                paths.append(path)
+                paths.append(stack[-1] if stack else None)
                 texts.append(text)
                 links.append(min(1.0, linked / len(raw)))
             buffer.clear()
@@ -81,44 +118,65 @@ def blocks(html: str) -> tuple[list[tuple[str, ...]], list[str], list[float]]:
         if in_link:
             linked += len(text)
 
+    def cut(k: int) -> None:
+        for x in stack[k:]:
+            open_.subtract(x.words)
+        del stack[k:]
+
     at, n = 0, len(html)
-    path: tuple[str, ...] = ()
     while at < n:
-        m = _TOKEN.search(html, at)
-        if m is None:
+        here = html.find("<", at)
+        if here < 0:
             add(html[at:])
             break
-        if m.start() > at:
-            add(html[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
+        if here > at:
+            add(html[at:here])
+        if html.startswith("<!--", here):
+            end = html.find("-->", here + 4)
+            at = n if end < 0 else end + 3
+            continue
+        closing = html.startswith("/", here + 1)
+        named = _NAME.match(html, here + 1 + closing)
+        if named is None:
+            end = html.find(">", here) if closing or html[here + 1 : here + 2] in ("!", "?") else -1
+            if end < 0:
+                add("<")
+            at = here + 1 if end < 0 else end + 1
             continue
-        name = name.lower()
-        if m[1]:
+        rest = None if loose else _REST.match(html, named.end())
+        if rest:
+            attributes, at = html[named.end() : rest.end() - 1], rest.end()
+        else:
+            loose = True  # a quote stays open to the end of the page: from here on, tags end at the next >
+            end = html.find(">", named.end())
+            if end < 0:
+                break
+            attributes, at = html[named.end() : end], end + 1
+        name = named[0].lower()
+        if closing:
             if name == "a":
                 in_link = max(0, in_link - 1)
             if name in BLOCK:
-                flush(path)
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+                flush()
+            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), None) if open_[name] > 0 else None
             if k is not None and name not in ("html", "body"):
-                del stack[k:]
-                path = stack[-1][1] if stack else ()
+                cut(k)
             continue
         if name in BLOCK:
-            flush(path)
+            flush()
             close, stop = ({"p"}, set()) if name in _P else _CLOSES.get(name, (set(), set()))
-            if close:
+            if close and any(open_[c] > 0 for c in close):
                 for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in close:
-                        del stack[i:]
-                        path = stack[-1][1] if stack else ()
+                    if stack[i].name in close:
+                        cut(i)
                         if name not in ("tr", "dd", "dt"):
                             break
-                    elif stack[i][0] in stop or (name in _P and stack[i][0] in BLOCK):
+                    elif stack[i].name in stop or (name in _P and stack[i].name in BLOCK):
                         break
-        if name in RAW and not m[3].rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at)
+        if name in RAW and not attributes.rstrip().endswith("/"):
+            end = None if name in endless else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at)
+            if end is None:
+                endless.add(name)
             at = end.end() if end else (n if name in ("script", "style", "textarea", "title") else at)
             continue
         if name in VOID:
@@ -126,12 +184,12 @@ def blocks(html: str) -> tuple[list[tuple[str, ...]], list[str], list[float]]:
         if name == "a":
             in_link += 1
         words = [name]
-        if m[3] and "=" in m[3]:
-            for key, *value in _ATTRIBUTE.findall(m[3]):
+        if "=" in attributes:
+            for key, *value in _ATTRIBUTE.findall(attributes):
                 words += dict.fromkeys("." + w for w in _WORD.findall("".join(value).lower())) if key else []
-        path = (*path, *words)
-        stack.append((name, path))
-    flush(path)
+        stack.append(Path(name, words, stack[-1] if stack else None, open_))
+        open_.update(words)
+    flush()
     return paths, texts, links
 
 
@@ -146,10 +204,13 @@ def away(path: tuple[str, ...]) -> bool:
     return False
 
 
+_NOTHING = np.zeros(PATH_DIM, np.float32)
+
+
 @lru_cache(50_000)
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
+def path_vector(words: tuple[str, ...]) -> np.ndarray:
     out = np.zeros(PATH_DIM, np.float32)
-    for k, w in enumerate(dict.fromkeys(path)):
+    for w in words:
         h = zlib.crc32(w.encode())
         out[h % PATH_DIM] += 1 if h >> 16 & 1 else -1
         h = zlib.crc32(b"2" + w.encode())
@@ -157,14 +218,14 @@ def path_vector(path: tuple[str, ...]) -> np.ndarray:
     return out
 
 
-def vectors(pages: list[tuple[list[tuple[str, ...]], list[str], list[float]]]) -> tuple[np.ndarray, np.ndarray]:
+def vectors(pages: list[tuple[list, list[str], list[float]]]) -> tuple[np.ndarray, np.ndarray]:
     """(a row for each block of all pages, blocks of each page)."""
     sizes = np.array([len(p[0]) for p in pages])
     texts = [t for p in pages for t in p[1]]
     x = np.zeros((len(texts), PATH_DIM + WORD_DIM + 6), np.float32)
     if not texts:
         return x, sizes
-    x[:, :PATH_DIM] = np.stack([path_vector(q) for p in pages for q in p[0]])
+    x[:, :PATH_DIM] = np.stack([_NOTHING if not q else q.vector if isinstance(q, Path) else path_vector(tuple(dict.fromkeys(q))) for p in pages for q in p[0]])
     raw, offsets = _words.buffers(pa.array(texts, pa.large_string()))
     for i, j in _words.slices(offsets):
         h, first = _words.word_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -183,7 +244,7 @@ def vectors(pages: list[tuple[list[tuple[str, ...]], list[str], list[float]]]) -
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-z))
+    return 0.5 * (1 + np.tanh(0.5 * z))
 
 
 class Labeller:
@@ -224,15 +285,17 @@ class Labeller:
         b, _ = self._pass(x, mask, "b", False)
         return (np.concatenate([f, b, x], 2) @ self.w["o"] + self.w["ob"])[..., 0]
 
-    def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, known: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Loss and gradients. mask: where a page has blocks; known: whose labels count, all by default."""
         k = self.hidden
+        known = mask if known is None else known
         f, tf = self._pass(x, mask, "f", True)
         b, tb = self._pass(x, mask, "b", True)
         all_ = np.concatenate([f, b, x], 2)
         p = _sigmoid((all_ @ self.w["o"] + self.w["ob"])[..., 0])
-        m = mask.sum()
-        loss = -float((mask * np.log(np.where(y, p, 1 - p) + 1e-9)).sum() / m)
-        dz = ((p - y) * mask / m)[..., None].astype(np.float32)
+        m = max(known.sum(), 1)
+        loss = -float((known * np.log(np.where(y, p, 1 - p) + 1e-9)).sum() / m)
+        dz = ((p - y) * known / m)[..., None].astype(np.float32)
         g = {"o": np.einsum("nti,ntj->ij", all_, dz), "ob": dz.sum((0, 1))}
         dall = dz @ self.w["o"].T
         for d, tape, part in (("f", tf, dall[..., :k]), ("b", tb, dall[..., k : 2 * k])):
@@ -251,7 +314,7 @@ class Labeller:
             g |= {d + "x": gx, d + "h": gh, d + "b": gb}
         return loss, g
 
-    def train(self, x: np.ndarray, sizes: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.01, seed: int = 4) -> float:
+    def train(self, x: np.ndarray, sizes: np.ndarray, y: np.ndarray, known: np.ndarray, epochs: int = 10, batch: int = 32, rate: float = 0.01, seed: int = 4) -> float:
         rng = np.random.default_rng(seed)
         starts = np.concatenate([[0], np.cumsum(sizes)])
         m1, m2, step, loss = {k: np.zeros_like(v) for k, v in self.w.items()}, {k: np.zeros_like(v) for k, v in self.w.items()}, 0, 0.0
@@ -262,9 +325,10 @@ class Labeller:
             rng.shuffle(groups)
             for rows in groups:
                 xs, mask = pad(x, starts, rows)
-                ys = np.zeros(mask.shape, bool)
+                ys, ks = np.zeros(mask.shape, bool), np.zeros(mask.shape, bool)
                 ys[mask] = np.concatenate([y[starts[r] : starts[r + 1]] for r in rows])
-                loss, g = self.gradients(xs, mask, ys)
+                ks[mask] = np.concatenate([known[starts[r] : starts[r + 1]] for r in rows])
+                loss, g = self.gradients(xs, mask, ys, ks)
                 step += 1
                 lr = rate * (1 - 0.9 * epoch / epochs)
                 for k, v in g.items():
@@ -302,48 +366,69 @@ def pad(x: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray
     return xs, mask
 
 
+_ENDINGS = (("ing", "er", "ed", "an", "th", "on"), ("ung", "keit", "en", "lich", "ß", "ü"), ("tion", "eux", "é", "è", "ent", "que"), ("ción", "os", "ad", "ñ", "aba", "ía"), ("の", "は", "本", "日", "語", "文"), ("ый", "ть", "ние", "ов", "ах", "я"))
+
+
 def generated_page(rng: random.Random) -> tuple[str, list[bool]]:
-    """A page of a random layout, and the label of each of its blocks."""
-    vocabulary = [chr(97 + i % 26) + chr(97 + i * 7 % 26) + chr(97 + i * 11 % 26) * (i % 3) + "ing er ed an th on".split(" ")[i % 6] for i in range(300)]
+    """A page of a random layout and language, and the label of each of its blocks."""
+    endings = rng.choice(_ENDINGS)
+    vocabulary = [chr(97 + i % 26) + chr(97 + i * 7 % 26) + chr(97 + i * 11 % 26) * (i % 3) + endings[i % 6] for i in range(300)]
     word = lambda: rng.choice(vocabulary)
     sentence = lambda n=None: " ".join(word() for _ in range(n or rng.randint(4, 22))).capitalize() + rng.choice(". . . ! ?".split())
     prose = lambda: " ".join(sentence() for _ in range(rng.choice([1, 1, 2, 4, 7])))
-    out: list[str] = []
+    plain = lambda: "".join(rng.choices("bcdfghjklmnprstvwz", k=1) + rng.choices("aeiou", k=1) + rng.choices("bcdfghjklmnprstvwz", k=rng.randint(1, 2)))  # noqa: E731  a name that says nothing
+    named = rng.random() < 0.85  # do class names of this page mean anything?
 
-    def block(tag: str, inside: str, count: int = 1, cls: str = "") -> str:
-        return f"<{tag}{f' class="{cls}"' if cls else ''}>{inside}</{tag}>"
+    def block(tag: str, inside: str, cls: str = "", key: str = "") -> str:
+        return f"<{tag}{f' {key or rng.choice(["class", "class", "id"])}="{cls}"' if cls else ''}>{inside}</{tag}>"
 
-    def items(tag: str, n: int) -> str:
+    def items(n: int) -> str:
         return "<ul>" + "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(n)) + "</ul>" if rng.random() < 0.7 else "".join(f'<a href="/{word()}">{word()}</a> ' for _ in range(n))
 
+    def away_name() -> str:
+        return (rng.choice(sorted(AWAY_WORDS)) if rng.random() < 0.7 else rng.choice(AWAY_ABROAD)) + rng.choice(["", "", "-box", " inner", "-1", "_" + plain(), " " + plain()])
+
+    def comments() -> str:
+        cls = rng.choice(["comment", "comments", "reply", "replies", "disqus", "kommentar", "kommentare", "commentaires", "comentarios", "respond", "discussion"]) + rng.choice(["", "_thread", "-list", "s", " " + plain()])
+        one = rng.choice([lambda: f"<b>{word()}</b> {rng.randint(1, 28)}.{rng.randint(1, 12)}.2021<p>{prose()}</p>", lambda: prose(), lambda: f'<a href="/u/{word()}">{word()}</a><div>{prose()}</div>'])
+        outer, inner = rng.choice([("ol", "li"), ("ul", "li"), ("div", "div"), ("section", "article"), ("section", "div")])
+        body = "".join(f"<{inner}>{one()}</{inner}>" for _ in range(rng.randint(1, 6)))
+        return block(outer, (f"<h3>{sentence(2)}</h3>" if rng.random() < 0.5 else "") + body, cls)
+
     def away_part() -> str:
+        if rng.random() < 0.25:
+            return comments()
         kind = rng.choice(["nav", "div", "aside", "form", "section", "ul", "div", "p"])
-        cls = rng.choice(sorted(AWAY_WORDS)) + rng.choice(["", "", "-box", " inner", "-1"])
-        inner = rng.choice([lambda: items("ul", rng.randint(2, 8)), lambda: block("p", prose()), sentence, lambda: block("h3", word()) + items("ul", 3), lambda: block("div", prose()) + block("div", prose())])()
+        links = lambda: items(rng.randint(2, 8))
+        if not named and kind not in ("nav", "aside", "form"):  # nothing but the wording tells these
+            return block("div", rng.choice([links, links, lambda: sentence(3), lambda: f"&copy; {rng.randint(1999, 2025)} {word()}"])(), plain())
+        inner = rng.choice([links, lambda: block("p", prose()), sentence, lambda: block("h3", word()) + items(3), lambda: block("div", prose()) + block("div", prose())])()
         if kind == "ul":
-            return f'<ul class="{cls}">' + "".join(f"<li>{sentence(3)}</li>" for _ in range(rng.randint(1, 5))) + "</ul>"
+            return block("ul", "".join(f"<li>{sentence(3)}</li>" for _ in range(rng.randint(1, 5))), away_name())
         if kind in ("nav", "aside", "form"):
-            return block(kind, inner, cls=rng.choice(["", cls]))
-        return block(kind, inner if kind != "p" else sentence(), cls=cls)
+            return block(kind, inner, rng.choice(["", away_name()]))
+        return block(kind, inner if kind != "p" else sentence(), away_name())
 
     def article() -> str:
-        body = [block(rng.choice(["h1", "h1", "h2"]), sentence(rng.randint(2, 9)))]
-        for _ in range(rng.randint(0, 14)):
+        body = [block(rng.choice(["h1", "h1", "h2"]), sentence(rng.randint(2, 9)))] if rng.random() < 0.6 else []
+        for _ in range(rng.choice([0, 1, 1, 2, *range(2, 15)]) or 1 - len(body)):
             body.append(rng.choice([lambda: block("p", prose()), lambda: block("p", prose()), lambda: f"<p><b>{prose()}<br><p>{prose()}</p>", lambda: block("h2", sentence(3)), lambda: "<ul>" + "".join(block("li", sentence()) for _ in range(3)) + "</ul>", lambda: block("blockquote", prose()), lambda: block("p", f"{sentence()} <a href=x>{word()} {word()}</a> {sentence()}"), lambda: "<table><tr><td>" + word() + "<td>" + sentence(4) + "</table>", lambda: block("p", sentence(rng.randint(1, 3))), lambda: block("div", prose())])())
             if rng.random() < 0.08:
                 body.append("\0" + away_part() + "\0")
         inner = "".join(body)
-        return rng.choice([lambda: block("article", inner), lambda: block("article", inner), lambda: block("main", inner), lambda: block("main", block("article", inner)), lambda: block("div", inner, cls=rng.choice(["content", "article", "post-body", "entry", "main text", "story"])), lambda: f'<div id="{rng.choice(["content", "main", "article"])}">{inner}</div>'])()
+        name = lambda: (rng.choice(MAIN_WORDS) if named else plain()) + rng.choice(["", "", "-" + plain(), " " + plain(), "-1"])
+        return rng.choice([lambda: block("article", inner), lambda: block("main", inner), lambda: block("main", block("article", inner)), lambda: block("div", inner, name()), lambda: block("div", inner, name()), lambda: block("div", block("div", inner, name()), plain()), lambda: block("div", inner), lambda: inner])()
 
     parts = [(away_part(), False) for _ in range(rng.randint(0, 4))]
     if rng.random() < 0.5:
-        parts.insert(0, (block("header", rng.choice([items("ul", 4), block("h1", word()), sentence(3)])), False))
+        parts.insert(0, (block("header", rng.choice([items(4), block("h1", word()), sentence(3)])), False))
     if rng.random() < 0.95:
         parts.append((article(), True))
     parts += [(away_part(), False) for _ in range(rng.randint(0, 4))]
     if rng.random() < 0.7:
-        parts.append((block("footer", rng.choice([f"&copy; {word()} &middot; {prose()}", items("ul", 3), block("p", sentence())])), False))
+        parts.append((block("footer", rng.choice([f"&copy; {word()} &middot; {prose()}", items(3), block("p", sentence())])), False))
     wrap = rng.random() < 0.3
+    out: list[str] = []
     labels: list[bool] = []
     for text, good in parts:
         pieces = text.split("\0")
@@ -353,45 +438,71 @@ def generated_page(rng: random.Random) -> tuple[str, list[bool]]:
             labels += [".zz" not in q for q in blocks(marked)[0]]
         else:
             labels += [good] * len(blocks(text)[0])
-    page = "<!DOCTYPE html><html><head><title>x</title></head><body>" + ('<div class="page">' if wrap else "") + "".join(out) + ("</div>" if wrap else "") + "</body></html>"
+    page = "<!DOCTYPE html><html><head><title>x</title></head><body>" + (f'<div class="{plain()}">' if wrap else "") + "".join(out) + ("</div>" if wrap else "") + "</body></html>"
     return page, labels
 
 
+def said(path: tuple[str, ...]) -> bool | None:
+    """What the markup says outright of a block: of the article, not of it, or nothing."""
+    return False if away(path) else True if "article" in path or "main" in path else None
+
+
+def windows(page: tuple[list, list[str], list[float]]) -> Iterator[tuple[list, list[str], list[float]]]:
+    for i in range(0, len(page[0]), WINDOW):
+        yield tuple(part[i : i + WINDOW] for part in page)
+
+
 def train(sample: list[str], generated: int = GENERATED, seed: int = 5) -> Labeller:
     """A labeller from generated pages and the sampled ones."""
     rng = random.Random(seed)
     pages, labels = [], []
     for _ in range(generated):
         page, own = generated_page(rng)
-        found = blocks(page)
+        found = leaves(page)
         if len(found[0]) == len(own):
             pages.append(found)
             labels += own
     for page in sample:
-        found = blocks(page)
-        if len(found[0]) <= 2000:
+        for found in windows(leaves(page)):
             pages.append(found)
-            labels += [not away(p) for p in found[0]]
+            labels += [said(p.all() if p else ()) for p in found[0]]
     x, sizes = vectors(pages)
     model = Labeller(x.shape[1])
-    model.train(x, sizes, np.array(labels, bool))
+    model.train(x, sizes, np.array([v is True for v in labels], bool), np.array([v is not None for v in labels], bool))
     return model
 
 
 def extract(htmls: list[str | None], model: Labeller) -> list[str]:
-    pages = [blocks(h or "") for h in htmls]
+    pages = [leaves(h or "") for h in htmls]
     x, sizes = vectors(pages)
     keep = model.label(x, sizes)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     return [" ".join(t for t, k in zip(p[1], keep[starts[i] : starts[i + 1]], strict=True) if k) for i, p in enumerate(pages)]
 
 
+def sampled(pages: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> list[str]:
+    """The pages to learn from: the least by a hash of page_id, of pages that repeat an id the least by digest; one that
+    doesn't fit into what is left of `most` bytes is passed over."""
+    rows = pages.where(F.col("html").isNotNull()).select("page_id", F.xxhash64("html").alias("digest"), "html")
+    least = F.min(F.struct("digest", F.octet_length("html").alias("size"))).alias("least")
+    ids = rows.groupBy("page_id").agg(least).select("page_id", "least.*", F.xxhash64(F.col("page_id").cast("string"), F.lit(8)).alias("h"))
+    chosen = []
+    for r in ids.orderBy("h", "page_id").limit(sample).collect():
+        if r["size"] <= most:
+            most -= r["size"]
+            chosen.append((r["page_id"], r["digest"], r["h"]))
+    if not chosen:
+        return []
+    wanted = F.broadcast(pages.sparkSession.createDataFrame(chosen, f"id {pages.schema['page_id'].dataType.simpleString()}, d long, h long"))  # at most `sample` rows
+    found = rows.join(wanted, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d"))).groupBy("h", "digest").agg(F.first("html").alias("html"))
+    return [r["html"] for r in sorted(found.collect(), key=lambda r: (r["h"], r["digest"]))]
+
+
 def extract_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """page_id, url, text, n_chars for each page."""
     spark = pages.sparkSession
     bounded_batches(spark)
-    rows = hashed_sample(pages.where(F.col("html").isNotNull()).select("page_id", "html"), F.col("page_id"), 8, sample)
-    shared = spark.sparkContext.broadcast(train([r.html for r in rows]))
+    shared = spark.sparkContext.broadcast(train(sampled(pages, sample)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
