@@ -9,7 +9,8 @@ limit, `rejected` is true, while lang_pred stays the best guess.
 
 Learning sees at most SAMPLE labelled rows, of those whose crc32(doc_id) mod 5 is not 0: each language has
 the same share, what rare ones leave of theirs goes to the others, and in a language the rows are the least
-by a hash of doc_id. Of the training texts every piece is learned if there are at most PIECES; else the
+by a hash of doc_id and text. Of SAMPLE_BYTES of text each language has an equal part; a text that doesn't
+fit into what is left of it is passed over. Of the training texts every piece is learned if there are at most PIECES; else the
 languages share PIECES in the same way, and so do the texts of a language, whose pieces are drawn at random.
 Every language keeps a row, and every text a piece. lang, source and doc_id are never inputs of a prediction.
 
@@ -34,6 +35,7 @@ from . import _words
 from ._common import bounded_batches, read
 
 SAMPLE = 3000
+SAMPLE_BYTES = 32 << 20
 BUCKETS = 1 << 15
 DIM = 16
 PIECE = 400
@@ -200,22 +202,28 @@ class Model:
         return lang.tolist(), score
 
 
-def sampled(rows: DataFrame, sample: int) -> list:
-    """At most `sample` of the rows (doc_id, text, lang), shared by the languages, on the driver. Counts come first, so
-    that the executors send about 1.5 times that between them, however many tasks there are."""
+def sampled(rows: DataFrame, sample: int, most: int = SAMPLE_BYTES) -> list:
+    """At most `sample` of the rows (doc_id, text, lang), shared by the languages, and `most` bytes of their texts, on the
+    driver. Counts come first, so that the executors send about 1.5 times that between them, however many tasks there
+    are; then sizes, then the chosen texts. Rows that repeat doc_id and text count as one."""
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     part = share(counts.values(), sample)
-    rows = rows.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)))
+    rows = rows.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(5)))
     limits = {lang: int((1.5 * part + 20) / n * (1 << 31)) for lang, n in counts.items() if n > 2 * part + 40}
     if limits:
         limit = F.create_map(*[F.lit(v) for kv in limits.items() for v in kv])[F.col("lang")]
         rows = rows.where(F.pmod("h", F.lit(1 << 31)) < F.coalesce(limit, F.lit(1 << 31)))
-    out, seen = [], Counter()
-    for r in sorted(rows.collect(), key=lambda r: (r["h"] % (1 << 31), r["h"], tuple(str(v) for v in r))):
-        seen[r["lang"]] += 1
-        if seen[r["lang"]] <= part:
-            out.append(r)
-    return out
+    chosen, seen, left = [], Counter(), Counter({lang: most // max(1, len(counts)) for lang in counts})
+    for r in sorted(rows.groupBy("lang", "h").agg(F.first(F.octet_length("text")).alias("size")).collect(), key=lambda r: (r["h"] % (1 << 31), r["h"], r["lang"])):
+        if seen[r["lang"]] < part and r["size"] <= left[r["lang"]]:
+            seen[r["lang"]] += 1
+            left[r["lang"]] -= r["size"]
+            chosen.append((r["lang"], r["h"]))
+    if not chosen:
+        return []
+    wanted = F.broadcast(rows.sparkSession.createDataFrame(chosen, "lang string, h long"))  # at most `sample` rows
+    found = rows.join(wanted, ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text")).collect()
+    return sorted(found, key=lambda r: (r["h"] % (1 << 31), r["h"], r["lang"]))
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
