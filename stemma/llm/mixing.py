@@ -7,7 +7,9 @@ cumulative weights; the slot's rank among that source's slots picks the block.
 
 Scale: ranks and word positions are prefix sums over a source that may hold a third of all rows. They
 are taken in two levels, within about sqrt(rows) digest ranges and over the ranges' totals, so no task
-sorts a whole source. Texts are read once, for their sizes; only (id, source, size) rows move.
+sorts a whole source; rows that repeat source, doc_id and size are one group until they are placed, so no
+task holds a doc_id that a third of the rows repeat. Texts are read once, for their sizes; only (id,
+source, size) rows move. Windows over sources hold one short row for each.
 
 Edge cases: a null text has size 0 and takes nothing; an empty table gives an empty result; a null
 source is a source of its own, ranked last; rows that repeat a doc_id are each a document; columns
@@ -93,6 +95,14 @@ def schedule(sources: DataFrame, block: int, bits: int, n_blocks: int, bucket_bi
     return ranked.where("rank < n_slots").select("src", "rank", "slot")
 
 
+def _each_row(groups: DataFrame) -> DataFrame:
+    """A row for each of the n documents of a group, one after another from start on; those of large groups are dealt out."""
+    few, many = groups.where(f"n <= {_CHUNK}"), groups.where(f"n > {_CHUNK}")
+    many = many.withColumn("_chunk", F.explode(F.expr(f"sequence(0, (n - 1) div {_CHUNK})"))).repartition("src", "start", "_chunk")
+    rows = few.withColumn("_i", F.explode(F.expr("sequence(0, n - 1)"))).unionByName(many.withColumn("_i", F.explode(F.expr(f"sequence(_chunk * {_CHUNK}, least(n - 1, _chunk * {_CHUNK} + {_CHUNK - 1}))"))).drop("_chunk"))
+    return rows.withColumn("start", F.col("start") + F.col("_i") * F.col("size")).drop("_i", "n")
+
+
 def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> tuple[DataFrame, DataFrame]:
     """(pieces, documents): pieces are the mix, one row for each slot and document in its block (slot,
     source, doc_id, from_word, to_word: words of the document, from 0, epoch); documents has doc_id,
@@ -112,9 +122,10 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs:
 
     key = _shuffle_key(F.col("doc_id"))
     found = sizes.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.doc_id", "d.source", "d.size", "s.src", "s.source_size", "s.target", "s.cap_words", key.alias("_key"))
+    found = found.groupBy("doc_id", "source", "size", "src", "source_size", "target", "cap_words", "_key").agg(F.count(F.lit(1)).alias("n"))
     found = found.withColumn("_bucket", F.shiftright(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long"), 32 - min(32, bucket_bits)))
-    placed = _prefix(found, "src", "_bucket", ["_key", "doc_id", "size"], F.col("size"), "start").drop("_key")
-    placed = shared_table(placed, "mix-placed")
+    groups = shared_table(_prefix(found, "src", "_bucket", ["_key", "doc_id", "size"], F.col("size") * F.col("n"), "start").drop("_key"), "mix-groups")
+    placed = shared_table(_each_row(groups), "mix-placed")
     epoch = F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))
     parts = placed.where("size > 0").select("src", "source", "doc_id", "size", "start", "source_size", "cap_words", epoch.alias("epoch"))
     parts = parts.withColumn("at", F.col("epoch") * F.col("source_size") + F.col("start")).where("at < cap_words")
