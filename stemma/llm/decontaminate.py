@@ -14,7 +14,7 @@ where the text is. A block of items has about BLOCK_BYTES of text by constructio
 and sets are broadcast; a larger benchmark takes more blocks, each compared with all documents.
 
 Edge cases: null or empty texts, on either side, are found nowhere; an empty documents or benchmark table
-gives an empty result; repeated items and documents give each pair of ids once; other columns are ignored
+gives an empty result; an item without an id is found as well, as a null item_id; repeated items and documents give each pair of ids once; other columns are ignored
 (pairs) or pass through unchanged (filter).
 """
 
@@ -38,9 +38,9 @@ BLOCK_BYTES = 4 << 20
 class Index:
     """Sketches and sets of a block of items, by the shingle length that they need."""
 
-    def __init__(self, ids: list[int], texts: list[str], k: int = K, percent: int = PERCENT):
+    def __init__(self, ids: list[int | None], texts: list[str], k: int = K, percent: int = PERCENT):
         self.k, self.percent = k, percent
-        self.ids = np.array(ids, np.int64)
+        self.ids = ids
         self.sets: list[np.ndarray] = []
         column = pa.array(texts, pa.large_string())
         raw, offsets = _words.buffers(column)
@@ -111,7 +111,6 @@ def indexes(benchmark: DataFrame, k: int = K, percent: int = PERCENT) -> Iterato
     for b in range(n):
         block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b) if n > 1 else items
         rows = sorted(block.distinct().toLocalIterator(), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        rows = [r for r in rows if r[0] is not None]
         if rows:
             yield Index([r[0] for r in rows], [r[1] for r in rows], k, percent)
 
@@ -132,7 +131,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = K, percent: int = PERC
                 hits = list(index.found(x.column(1)))
                 if hits:
                     row, item, n = zip(*hits)
-                    yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(row)).cast(pa.int64()), pa.array(index.ids[list(item)]), pa.array(n, pa.int64()), pa.array([len(index.sets[i]) for i in item], pa.int64())], names=["doc_id", "item_id", "n_shared", "n_shingles"])
+                    yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(row)).cast(pa.int64()), pa.array([index.ids[i] for i in item], pa.int64()), pa.array(n, pa.int64()), pa.array([len(index.sets[i]) for i in item], pa.int64())], names=["doc_id", "item_id", "n_shared", "n_shingles"])
 
         out = out.union(texts.mapInArrow(run, schema))
     return out.distinct().withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
