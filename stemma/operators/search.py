@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.corpus import Corpus
-from .structure import bucket_width, node_text
+from ..plans.tables import cut
+from .structure import bucket_width, headings, held, node_text, section_ref
 
 _CONDITION = re.compile(r"^(?:\?(?P<has>\w+)|(?P<name>\w+)(?P<op>[=#~<>])(?P<value>.*))$")
 _RELATION = re.compile(r"^(<:|<|=:|\|\||-(\w+)>)\s+(.*)$")
@@ -121,62 +122,82 @@ def condition(corpus: Corpus, name: str, op: str, value: str) -> Column:
 
 def candidates(corpus: Corpus, atom: Atom, i: int) -> DataFrame:
     """corpus, n{i}, f{i}, l{i}: the nodes that satisfy a node line on its own."""
-    nodes = corpus.of_type(atom.otype).where("first_slot is not null").select("corpus", "node", "first_slot", "last_slot")
+    gaps = [F.col("ranges").alias(f"g{i}")] if "ranges" in corpus.nodes.columns else []
+    nodes = corpus.of_type(atom.otype).where("first_slot is not null").select("corpus", "node", "first_slot", "last_slot", *[F.col("ranges") for _ in gaps])
     for name in dict.fromkeys(c[0] for c in atom.conditions):
         own = [condition(corpus, *c) for c in atom.conditions if c[0] == name]
         # every condition needs the value: the filtered feature joins, and the filter reaches its scan
         nodes = nodes.join(corpus.feature(name).where(reduce(lambda a, b: a & b, own)).select("corpus", "node"), ["corpus", "node"])
-    return nodes.select("corpus", F.col("node").alias(f"n{i}"), F.col("first_slot").alias(f"f{i}"), F.col("last_slot").alias(f"l{i}"))
+    return nodes.select("corpus", F.col("node").alias(f"n{i}"), F.col("first_slot").alias(f"f{i}"), F.col("last_slot").alias(f"l{i}"), *gaps)
+
+
+def _contains(d: DataFrame, p: int, c: int) -> str:
+    """SQL: has p all slots of c? With gaps where the corpus has some."""
+    span = f"f{p} <= f{c} and l{c} <= l{p} and n{p} <> n{c}"
+    return f"{span} and {held(f'g{p}', f'g{c}', f'f{p},l{p}', f'f{c},l{c}')}" if f"g{p}" in d.columns and f"g{c}" in d.columns else span
+
+
+def _meets(d: DataFrame, a: int, b: int) -> str:
+    """SQL: do a and b share a slot?"""
+    span = f"f{a} <= l{b} and f{b} <= l{a} and n{a} <> n{b}"
+    if f"g{a}" not in d.columns or f"g{b}" not in d.columns:
+        return span
+    of = lambda i: f"coalesce(g{i}, array(named_struct('lo', f{i}, 'hi', l{i})))"
+    return f"{span} and exists({of(a)}, x -> exists({of(b)}, y -> x.lo <= y.hi and y.lo <= x.hi))"
 
 
 def _inside(left: DataFrame, right: DataFrame, p: int, c: int, width: int) -> DataFrame:
     a = left.withColumn("bucket", F.explode(F.sequence(F.expr(f"f{p} div {width}"), F.expr(f"l{p} div {width}"))))
     b = right.withColumn("bucket", F.expr(f"f{c} div {width}"))
-    return a.join(b, ["corpus", "bucket"]).where(f"f{p} <= f{c} and l{c} <= l{p} and n{p} <> n{c}").drop("bucket")
+    both = a.join(b, ["corpus", "bucket"])
+    return both.where(_contains(both, p, c)).drop("bucket")
 
 
 def _related(corpus: Corpus, left: DataFrame, right: DataFrame, op: str, a: int, b: int, width: int) -> DataFrame:
     if op == "<:":
         return left.withColumn(f"f{b}", F.col(f"l{a}") + 1).join(right, ["corpus", f"f{b}"])
     if op == "=:":
-        return left.withColumn(f"f{b}", F.col(f"f{a}")).withColumn(f"l{b}", F.col(f"l{a}")).join(right, ["corpus", f"f{b}", f"l{b}"]).where(f"n{a} <> n{b}")
+        return left.withColumn(f"f{b}", F.col(f"f{a}")).withColumn(f"l{b}", F.col(f"l{a}")).join(right, ["corpus", f"f{b}", f"l{b}"]).where(f"n{a} <> n{b}" + (f" and g{a} <=> g{b}" if f"g{a}" in left.columns and f"g{b}" in right.columns else ""))
     if op == "||":
         x = left.withColumn("bucket", F.explode(F.sequence(F.expr(f"f{a} div {width}"), F.expr(f"l{a} div {width}"))))
         y = right.withColumn("bucket", F.explode(F.sequence(F.expr(f"f{b} div {width}"), F.expr(f"l{b} div {width}"))))
         once = f"bucket = greatest(f{a} div {width}, f{b} div {width})"
-        return x.join(y, ["corpus", "bucket"]).where(f"f{a} <= l{b} and f{b} <= l{a} and n{a} <> n{b} and {once}").drop("bucket")
+        both = x.join(y, ["corpus", "bucket"])
+        return both.where(f"{_meets(both, a, b)} and {once}").drop("bucket")
     edge = corpus.edge_features.where(F.col("feature") == op[1:-1]).select("corpus", F.col("src").alias(f"n{a}"), F.col("dst").alias(f"n{b}"))
     return left.join(edge, ["corpus", f"n{a}"]).join(right, ["corpus", f"n{b}"])
 
 
 def _holds(found: DataFrame, op: str, a: int, b: int) -> DataFrame:
     """A relation between two nodes that are joined already."""
-    test = {"<:": f"l{a} + 1 = f{b}", "<": f"l{a} < f{b}", "=:": f"f{a} = f{b} and l{a} = l{b} and n{a} <> n{b}", "||": f"f{a} <= l{b} and f{b} <= l{a} and n{a} <> n{b}"}
+    test = {"<:": f"l{a} + 1 = f{b}", "<": f"l{a} < f{b}", "=:": f"f{a} = f{b} and l{a} = l{b} and n{a} <> n{b}" + (f" and g{a} <=> g{b}" if f"g{a}" in found.columns and f"g{b}" in found.columns else ""), "||": _meets(found, a, b)}
     return found.where(test[op])
 
 
 def _match(corpus: Corpus, lines: list[str], outer: DataFrame | None = None) -> tuple[DataFrame, int]:
     """(results, number of node lines) of one template. outer: a node (n0, f0, l0) that all top lines lie in."""
     atoms = parse(lines)
-    found, width = outer, None
+    found = outer
     for k, atom in enumerate(atoms):
         i = k + 1
         own = candidates(corpus, atom, i)
         for kind, bodies in atom.quantifiers:
-            seed = own.select("corpus", F.col(f"n{i}").alias("n0"), F.col(f"f{i}").alias("f0"), F.col(f"l{i}").alias("l0"))
+            seed = own.select("corpus", *[F.col(f"{x}{i}").alias(f"{x}0") for x in "nflg" if f"{x}{i}" in own.columns])
             hits = reduce(DataFrame.unionAll, [_match(corpus, body, seed)[0].select("corpus", F.col("n0").alias(f"n{i}")) for body in bodies])
             own = own.join(hits, ["corpus", f"n{i}"], "left_anti" if kind == "/without/" else "left_semi")
         parent = 0 if atom.parent is None and outer is not None else atom.parent + 1 if atom.parent is not None else None
         if found is None:
             found = own
         elif atom.relation and (op := atom.relation[0]) != "<":
-            width = width or 64
+            width = bucket_width(own.select(F.col(f"f{i}").alias("first_slot"), F.col(f"l{i}").alias("last_slot"))) if op == "||" else 1
             found = _related(corpus, found, own, op, atom.relation[1] + 1, i, width)
             if parent is not None:
-                found = found.where(f"f{parent} <= f{i} and l{i} <= l{parent} and n{parent} <> n{i}")
+                found = found.where(_contains(found, parent, i))
         elif parent is not None:
             span = found.select("corpus", F.col(f"f{parent}").alias("first_slot"), F.col(f"l{parent}").alias("last_slot"))
-            width = bucket_width(span) if outer is None and k == 1 else 64
+            # by the mean span of the type above, so that each node touches few buckets
+            above = atoms[parent - 1].otype if parent else None
+            width = bucket_width(corpus.of_type(above)) if above else bucket_width(span)
             found = _inside(found, own, parent, i, width)
             if atom.relation:
                 found = _holds(found, atom.relation[0], atom.relation[1] + 1, i)
@@ -248,5 +269,19 @@ def export(corpus: Corpus, results: DataFrame, features: list[str]) -> DataFrame
     return corpus.with_features(typed, features).select("corpus", "result_index", "slot_index", "node", "otype", *features)
 
 
+def references(corpus: Corpus, results: DataFrame) -> DataFrame:
+    """results with refs: the section reference of each node, joined by ' | '. A section has labels down to its own level. T15."""
+    names, results = result_nodes(results), cut(results)
+    every = results.select("corpus", F.explode(F.array(*[F.struct(F.col(n).alias("node"), F.col("f" + n[1:]).alias("first_slot")) for n in names])).alias("x")).select("corpus", "x.*").distinct()
+    typed = cut(every.join(corpus.nodes.select("corpus", "node", "otype"), ["corpus", "node"]))
+    depth = F.array_position(F.array(*[F.lit(t) for t in corpus.section_types]), F.col("otype"))
+    heads = headings(corpus, typed.drop("otype")).join(typed.select("corpus", "node", F.when(depth > 0, depth).otherwise(len(corpus.section_types)).alias("depth")), ["corpus", "node"])
+    heads = heads.select("corpus", "node", *[F.when(F.col("depth") > i, F.col(t)).alias(t) for i, t in enumerate(corpus.section_types)])
+    refs = cut(heads.select("corpus", "node", section_ref(corpus.section_types).alias("ref")))
+    for n in names:
+        results = results.join(refs.select("corpus", F.col("node").alias(n), F.col("ref").alias(f"r{n[1:]}")), ["corpus", n], "left")
+    return results.withColumn("refs", F.concat_ws(" | ", *[f"r{n[1:]}" for n in names])).drop(*[f"r{n[1:]}" for n in names])
+
+
 #: T18.
 SYNTAX = __doc__

@@ -18,6 +18,12 @@ def prefixed(nodes: DataFrame, p: str) -> DataFrame:
     return nodes.select("corpus", *[F.col(c).alias(f"{p}_{c}") for c in nodes.columns if c != "corpus"])
 
 
+def held(p: str, c: str, p_span: str, c_span: str) -> str:
+    """SQL: does every range of c lie in one of p? Nodes without gaps have null ranges, and their span counts."""
+    one = lambda x, span: f"coalesce({x}, array(named_struct('lo', {span.split(',')[0]}, 'hi', {span.split(',')[1]})))"
+    return f"({p} is null or forall({one(c, c_span)}, x -> exists({p}, y -> y.lo <= x.lo and x.hi <= y.hi)))"
+
+
 def bucket_width(parents: DataFrame) -> int:
     """About the mean span of the parents, so that each touches few buckets. One small aggregation."""
     mean = parents.agg(F.avg(F.col("last_slot") - F.col("first_slot") + 1)).first()[0]
@@ -25,11 +31,13 @@ def bucket_width(parents: DataFrame) -> int:
 
 
 def embedding_pairs(parents: DataFrame, children: DataFrame, width: int | None = None) -> DataFrame:
-    """(corpus, p_*, c_*): each parent with each other node whose slots lie inside its span. H01, H02."""
+    """(corpus, p_*, c_*): each parent with each other node all of whose slots it has; a column ranges of both tells gaps. H01, H02."""
     width = width or bucket_width(parents)
     p = prefixed(parents.where("first_slot is not null"), "p").withColumn("bucket", F.explode(F.sequence(F.expr(f"p_first_slot div {width}"), F.expr(f"p_last_slot div {width}"))))
     c = prefixed(children.where("first_slot is not null"), "c").withColumn("bucket", F.expr(f"c_first_slot div {width}"))
     inside = "p_first_slot <= c_first_slot and c_last_slot <= p_last_slot and p_node <> c_node"
+    if "ranges" in parents.columns and "ranges" in children.columns:
+        inside += " and " + held("p_ranges", "c_ranges", "p_first_slot,p_last_slot", "c_first_slot,c_last_slot")
     return p.join(c, ["corpus", "bucket"]).where(inside).drop("bucket")
 
 
@@ -68,7 +76,7 @@ def enclosing_sections(corpus: Corpus, nodes: DataFrame, width: int = 256) -> Da
 def headings(corpus: Corpus, nodes: DataFrame, width: int = 256) -> DataFrame:
     """corpus, node and a column for each section level: the label of the section that holds the node's
     first slot. H08."""
-    out = nodes.select("corpus", "node", "first_slot")
+    base = out = nodes.select("corpus", "node", "first_slot")
     for level in corpus.section_types:
         name = corpus.section_features[level]
         section = corpus.of_type(level)
@@ -76,7 +84,8 @@ def headings(corpus: Corpus, nodes: DataFrame, width: int = 256) -> DataFrame:
         s = section.where("first_slot is not null").select("corpus", "node", "first_slot", "last_slot").join(label, ["corpus", "node"])
         s = s.select("corpus", F.col("label").alias(level), F.col("first_slot").alias("s_first"), F.col("last_slot").alias("s_last"))
         s = s.withColumn("bucket", F.explode(F.sequence(F.expr(f"s_first div {width}"), F.expr(f"s_last div {width}"))))
-        hit = out.withColumn("bucket", F.expr(f"first_slot div {width}")).join(s, ["corpus", "bucket"]).where("first_slot between s_first and s_last").select("corpus", "node", level)
+        # from the nodes themselves, so that the plan grows with the levels and not with their powers
+        hit = base.withColumn("bucket", F.expr(f"first_slot div {width}")).join(s, ["corpus", "bucket"]).where("first_slot between s_first and s_last").select("corpus", "node", level)
         out = out.join(hit, ["corpus", "node"], "left")
     return out.drop("first_slot")
 
