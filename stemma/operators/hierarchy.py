@@ -7,11 +7,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import cut
+
 WIDTH = 8
 
 
 def pad(ordinal: Column) -> Column:
-    return F.lpad(ordinal.cast("string"), WIDTH, "0")
+    text = ordinal.cast("string")
+    return F.when(F.length(text) < WIDTH, F.lpad(text, WIDTH, "0")).otherwise(text)
 
 
 def under(path: Column, top: Column | str) -> Column:
@@ -65,15 +68,15 @@ def walk_down(nodes: DataFrame, steps: list[tuple[str, str, object]]) -> DataFra
 
 
 def rebuild_paths(nodes: DataFrame) -> DataFrame:
-    """edition, id, path from parent and ordinal alone: one join for each level. H23."""
-    level = nodes.where("parent_id is null").select("edition", "id", pad(F.col("ordinal")).alias("path"))
+    """edition, id, path from parent and ordinal alone: one join for each level, each computed once. H23."""
+    below = nodes.select("edition", "id", "parent_id", "ordinal")
+    level = cut(nodes.where("parent_id is null").select("edition", "id", pad(F.col("ordinal")).alias("path")))
     out = level
-    while True:
-        below = nodes.select("edition", "id", "parent_id", "ordinal").join(level.select("edition", F.col("id").alias("parent_id"), F.col("path").alias("up")), ["edition", "parent_id"])
-        level = below.select("edition", "id", F.concat_ws(".", "up", pad(F.col("ordinal"))).alias("path"))
-        if level.limit(1).count() == 0:
-            return out
+    while not level.isEmpty():
+        up = level.select("edition", F.col("id").alias("parent_id"), F.col("path").alias("up"))
+        level = cut(below.join(up, ["edition", "parent_id"]).select("edition", "id", F.concat_ws(".", "up", pad(F.col("ordinal"))).alias("path")))
         out = out.unionByName(level)
+    return out
 
 
 def reference_levels(nodes: DataFrame) -> DataFrame:
@@ -82,20 +85,24 @@ def reference_levels(nodes: DataFrame) -> DataFrame:
 
 
 def structure_errors(members: DataFrame) -> DataFrame:
-    """structure, node, error: missing_parent, self_parent or cycle (of any length). H25.
+    """structure, node, error: missing_parent, self_parent or cycle (of any length, or hanging on one). H25.
 
-    Nodes that reach a root drop out level by level; what is left without an end is a cycle or hangs on one.
+    Every node looks one step up, then two, four and so on, until it sees where its way ends: at a root or at a missing
+    parent. The rounds are as many as the logarithm of the depth; whoever sees no end is on a cycle or hangs on one.
     """
-    ids = members.select("structure", F.col("node").alias("parent")).distinct()
-    missing = members.where("parent is not null").join(ids, ["structure", "parent"], "left_anti").select("structure", "node", F.lit("missing_parent").alias("error"))
-    left = members.where("parent is not null").join(missing.select("structure", "node"), ["structure", "node"], "left_anti").select("structure", "node", "parent")
-    bad = missing.select("structure", F.col("node").alias("parent"))
-    while True:
-        n = left.count()
-        waiting = left.select("structure", F.col("node").alias("parent")).distinct()
-        left = left.join(waiting, ["structure", "parent"], "left_semi")
-        if left.count() == n:
+    ids = members.select("structure", F.col("node").alias("parent"), F.lit(True).alias("there")).distinct()
+    end = F.when(F.col("parent").isNull(), "root").when(F.col("there").isNull(), "missing")
+    seen = cut(members.join(ids, ["structure", "parent"], "left").select("structure", "node", F.col("parent").alias("up"), end.alias("end"), (end == "missing").alias("first")))
+    first = seen.where("first").select("structure", "node", F.lit("missing_parent").alias("error"))
+    owners = members.select("structure", "node", (F.col("node") == F.col("parent")).alias("own"))
+    open_ = seen.where("end is null").count()
+    while open_:
+        above = seen.select("structure", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("end").alias("end2"))
+        both = seen.join(above, ["structure", "up"], "left")
+        seen = cut(both.select("structure", "node", F.when(F.col("end").isNull(), F.col("up2")).alias("up"), F.coalesce("end", "end2").alias("end")).distinct())
+        left = seen.where("end is null").count()
+        if left == open_:
             break
-    hang = left.join(bad, ["structure", "parent"], "left_anti")
-    error = F.when(F.col("node") == F.col("parent"), "self_parent").otherwise("cycle")
-    return missing.unionByName(hang.select("structure", "node", error.alias("error")))
+        open_ = left
+    error = F.when(F.col("own"), "self_parent").otherwise("cycle")
+    return first.unionByName(seen.where("end is null").join(owners, ["structure", "node"]).select("structure", "node", error.alias("error")))
