@@ -113,9 +113,13 @@ def scheme_token(token: Column) -> Column:
     return F.struct(kind.alias("kind"), _part(token, level, 1).alias("level"), F.coalesce(_part(token, level, 2), token).alias("value"))
 
 
+def _at_least_three(digits: Column) -> Column:
+    return F.when(F.length(digits) < 3, F.lpad(digits, 3, "0")).otherwise(digits)
+
+
 def compact_token(corpus: Column, ordinals: list[tuple[str, Column]]) -> Column:
-    """co<corpus>_bk001_ch002...: ordinals padded to three digits, levels that are null left out. C09."""
-    parts = [F.when(o.isNotNull(), F.concat(F.lit(p), F.lpad(o.cast("string"), 3, "0"))) for p, o in ordinals]
+    """co<corpus>_bk001_ch002...: ordinals padded to three digits at least, levels that are null left out. C09."""
+    parts = [F.when(o.isNotNull(), F.concat(F.lit(p), _at_least_three(o.cast("string")))) for p, o in ordinals]
     return F.concat_ws("_", F.concat(F.lit("co"), F.replace(F.lower(corpus), F.lit("_"), F.lit("-"))), *parts)
 
 

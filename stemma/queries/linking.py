@@ -31,16 +31,8 @@ def citation_detection(spark, sf_dir):
     return L.detect(_streams(spark, sf_dir), aliases, "id").select("id", "start", "exact", "chapter", "first", "last", "work_id", "ambiguous")
 
 
-@query("catalog_identify", "SELECT p.p_partkey AS id, p.p_type AS name, q.p_partkey AS work_id FROM part p JOIN part q ON p.p_type = q.p_type AND q.p_partkey <= 50 WHERE p.p_partkey <= 500")
+@query("catalog_identify", "WITH n AS (SELECT p_partkey, concat_ws(' ', p_name, p_type, p_brand, p_size) AS name FROM part) SELECT p.p_partkey AS id, name, q.p_partkey AS work_id FROM n p JOIN n q USING (name)")
 def catalog_identify(spark, sf_dir):
-    """Exact names, collisions kept."""
-    part = read(spark, sf_dir, "part")
-    names = part.where("p_partkey <= 500").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("name"))
-    return L.identify(part.where("p_partkey <= 50").select(F.col("p_type").alias("name"), F.col("p_partkey").alias("work_id")), names)
-
-
-@query("catalog_identify_all", "WITH n AS (SELECT p_partkey, concat_ws(' ', p_name, p_type, p_brand, p_size) AS name FROM part) SELECT p.p_partkey AS id, name, q.p_partkey AS work_id FROM n p JOIN n q USING (name)")
-def catalog_identify_all(spark, sf_dir):
     """Every part against the whole catalog, by full names, of which few are shared."""
     part = read(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand", F.col("p_size").cast("string")).alias("name"))
     return L.identify(part.select("name", F.col("p_partkey").alias("work_id")), part.select(F.col("p_partkey").alias("id"), "name"))
@@ -154,22 +146,6 @@ def segment_errors(spark, sf_dir):
     return L.segment_errors(s)
 
 
-@query("milestone_spans", "SELECT user_id AS doc, event_id // 4 AS id, min(event_id) FILTER (event_id % 4 = 0) AS start, max(event_id) FILTER (event_id % 4 = 2) AS stop FROM events WHERE event_id % 4 IN (0, 2) GROUP BY 1, 2 HAVING count(*) FILTER (event_id % 4 = 0) = 1 AND count(*) FILTER (event_id % 4 = 2) = 1")
-def milestone_spans(spark, sf_dir):
-    """Start and end markers paired into half-open spans."""
-    e = read(spark, sf_dir, "events").where("event_id % 4 in (0, 2)")
-    marks = e.select(F.col("user_id").alias("doc"), F.expr("event_id div 4").alias("id"), F.when(F.col("event_id") % 4 == 0, "start").otherwise("end").alias("kind"), F.col("event_id").alias("place"))
-    return L.paired_milestones(marks)[0]
-
-
-@query("milestone_errors", "SELECT user_id AS doc, event_id // 4 AS id, CASE WHEN count(*) FILTER (event_id % 4 = 2) = 0 THEN 'unclosed' ELSE 'unmatched' END AS error FROM events WHERE event_id % 4 IN (0, 2) GROUP BY 1, 2 HAVING count(*) = 1")
-def milestone_errors(spark, sf_dir):
-    """Markers without their pair."""
-    e = read(spark, sf_dir, "events").where("event_id % 4 in (0, 2)")
-    marks = e.select(F.col("user_id").alias("doc"), F.expr("event_id div 4").alias("id"), F.when(F.col("event_id") % 4 == 0, "start").otherwise("end").alias("kind"), F.col("event_id").alias("place"))
-    return L.paired_milestones(marks)[1]
-
-
 _MARKS = "m AS (SELECT user_id AS doc, event_id // 4 AS id, count(*) FILTER (event_id % 4 < 2) AS s, count(*) FILTER (event_id % 4 >= 2) AS e, min(event_id) FILTER (event_id % 4 < 2) AS start, max(event_id) FILTER (event_id % 4 >= 2) AS stop FROM events GROUP BY 1, 2)"
 
 
@@ -179,14 +155,14 @@ def _every_mark(spark, sf_dir):
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), F.expr("event_id div 4").alias("id"), F.when(k % 4 < 2, "start").otherwise("end").alias("kind"), k.alias("place"))
 
 
-@query("milestone_spans_all", f"WITH {_MARKS} SELECT doc, id, start, stop FROM m WHERE s = 1 AND e = 1")
-def milestone_spans_all(spark, sf_dir):
+@query("milestone_spans", f"WITH {_MARKS} SELECT doc, id, start, stop FROM m WHERE s = 1 AND e = 1")
+def milestone_spans(spark, sf_dir):
     """Spans from markers, every event being one."""
     return L.paired_milestones(_every_mark(spark, sf_dir))[0]
 
 
-@query("milestone_errors_all", f"WITH {_MARKS} SELECT doc, id, CASE WHEN s > 1 OR e > 1 THEN 'duplicate' WHEN e = 0 THEN 'unclosed' ELSE 'unmatched' END AS error FROM m WHERE s <> 1 OR e <> 1")
-def milestone_errors_all(spark, sf_dir):
+@query("milestone_errors", f"WITH {_MARKS} SELECT doc, id, CASE WHEN s > 1 OR e > 1 THEN 'duplicate' WHEN e = 0 THEN 'unclosed' ELSE 'unmatched' END AS error FROM m WHERE s <> 1 OR e <> 1")
+def milestone_errors(spark, sf_dir):
     """Markers without their pair, and repeated ones, every event being a marker."""
     return L.paired_milestones(_every_mark(spark, sf_dir))[1]
 

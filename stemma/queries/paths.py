@@ -145,15 +145,8 @@ def stream_offsets(spark, sf_dir):
 
 
 # --- full text ---------------------------------------------------------------------------------------------
-@query("postings", r"SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents WHERE lang = 'en') GROUP BY term")
+@query("postings", r"SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY term")
 def postings(spark, sf_dir):
-    """The inverted index of the English documents, summed by term."""
-    p = T.postings(read(spark, sf_dir, "documents").where("lang = 'en'"), "doc_id", "text")
-    return p.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n"))
-
-
-@query("postings_all", r"SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY term")
-def postings_all(spark, sf_dir):
     """The inverted index of all documents, whatever their language, summed by term."""
     p = T.postings(read(spark, sf_dir, "documents"), "doc_id", "text")
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n"))

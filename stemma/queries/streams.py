@@ -6,25 +6,15 @@ from pyspark.sql import functions as F
 
 from ..plans.corpus import read
 from ..streaming import jobs as J
-from . import ORACLE, query
+from . import query
 
 #: ev: events in SQL as (event_id, job, ts, kind).
-BASE = "ev AS (SELECT event_id, event_id % 997 AS job, ts, CASE event_id % 13 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'failed' WHEN 2 THEN 'queued' WHEN 3 THEN 'queued' WHEN 4 THEN 'started' ELSE 'progress' END AS kind FROM events WHERE event_id % 997 < 600 OR event_id % 13 IN (2, 3))"
-#: The same with every event; what jobs from 600 on have, counts as queued.
-BASE_ALL = "ev AS (SELECT event_id, event_id % 997 AS job, ts, CASE WHEN event_id % 997 >= 600 THEN 'queued' ELSE CASE event_id % 13 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'failed' WHEN 2 THEN 'queued' WHEN 3 THEN 'queued' WHEN 4 THEN 'started' ELSE 'progress' END END AS kind FROM events)"
+BASE = "ev AS (SELECT event_id, event_id % 997 AS job, ts, CASE WHEN event_id % 997 >= 600 THEN 'queued' ELSE CASE event_id % 13 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'failed' WHEN 2 THEN 'queued' WHEN 3 THEN 'queued' WHEN 4 THEN 'started' ELSE 'progress' END END AS kind FROM events)"
 STATES = """, st AS (SELECT job, coalesce(arg_min(kind, ts) FILTER (kind IN ('succeeded', 'failed')), CASE WHEN min(ts) FILTER (kind IN ('started', 'progress')) IS NOT NULL THEN 'running' ELSE 'queued' END) AS status,
   coalesce(min(ts) FILTER (kind IN ('succeeded', 'failed')), min(ts) FILTER (kind IN ('started', 'progress')), min(ts)) AS since FROM ev GROUP BY job)"""
 
 
 def job_events(spark, sf_dir):
-    """The events as jobs' events, kinds by number; jobs from 600 on are only ever queued."""
-    k = F.col("event_id") % 13
-    kind = F.when(k == 0, "succeeded").when(k == 1, "failed").when(k.isin(2, 3), "queued").when(k == 4, "started").otherwise("progress")
-    e = read(spark, sf_dir, "events").where("event_id % 997 < 600 or event_id % 13 in (2, 3)")
-    return e.select("event_id", (F.col("event_id") % 997).alias("job"), "ts", kind.alias("kind"))
-
-
-def every_job_event(spark, sf_dir):
     """All events as jobs' events, kinds by number; jobs from 600 on are only ever queued."""
     k, job = F.col("event_id") % 13, F.col("event_id") % 997
     kind = F.when(job >= 600, "queued").when(k == 0, "succeeded").when(k == 1, "failed").when(k.isin(2, 3), "queued").when(k == 4, "started").otherwise("progress")
@@ -69,50 +59,6 @@ def job_backlog(spark, sf_dir):
     return J.backlog(job_events(spark, sf_dir), 50)
 
 
-# --- the same over every event ------------------------------------------------------------------------------
-def _whole(name):
-    """Register a function under name and _all, held against the SQL of name over every event."""
-    return query(f"{name}_all", ORACLE[name].replace(BASE, BASE_ALL))
-
-
-@_whole("job_states")
-def job_states_all(spark, sf_dir):
-    """M01, M02."""
-    return J.job_states(every_job_event(spark, sf_dir))
-
-
-@_whole("stalled_jobs")
-def stalled_jobs_all(spark, sf_dir):
-    """M02, C33."""
-    now = read(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
-    return J.stalled(every_job_event(spark, sf_dir), now)
-
-
-@_whole("reaped_jobs")
-def reaped_jobs_all(spark, sf_dir):
-    """M03."""
-    now = read(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
-    return J.reaped(every_job_event(spark, sf_dir), now, 86400)
-
-
-@_whole("job_changes")
-def job_changes_all(spark, sf_dir):
-    """M04."""
-    return J.changes(every_job_event(spark, sf_dir)).select("event_id", "job", "kind")
-
-
-@_whole("job_logs")
-def job_logs_all(spark, sf_dir):
-    """M05."""
-    return J.log_tail(every_job_event(spark, sf_dir))
-
-
-@_whole("job_backlog")
-def job_backlog_all(spark, sf_dir):
-    """M06, A17."""
-    return J.backlog(every_job_event(spark, sf_dir), 50)
-
-
 @query("event_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark, sf_dir):
     """M09 (an extension): tumbling windows."""
