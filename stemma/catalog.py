@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from .queries import ORACLE, QUERIES, linking, paths, refs, sources, streams, text, trade  # noqa: F401
+from .queries import ORACLE, QUERIES, curation, linking, paths, reading, refs, sources, streams, text, trade  # noqa: F401
 
 FLAGSHIP = "search_containment"

@@ -103,3 +103,31 @@ def verified_anchor(text: Column, start: Column, stop: Column, exact: Column, be
     here = F.substring(text, start + 1, stop - start) == exact
     lo = F.greatest(start - context, F.lit(0))
     return here & (F.substring(text, lo + 1, start - lo) == before) & (F.substring(text, stop + 1, F.lit(context)) == after)
+
+
+#: Fixed elements that end a line, and those whose text doesn't count.
+LINE_ELEMENTS = "address article aside blockquote dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tr ul".split()
+_SILENT = "script style noscript template".split()
+
+
+def html_stream(html: Column) -> Column:
+    """The text of a page as one stream: a line break where a block begins or ends, unless there is one; br breaks too. S37."""
+    bare = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    for name in _SILENT:
+        bare = F.regexp_replace(bare, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", "")
+    broken = F.regexp_replace(bare, r"(?i)</?(?:" + "|".join(LINE_ELEMENTS) + r"|br)\b[^>]*>", "\n")
+    text = F.regexp_replace(F.regexp_replace(broken, r"<[^>]*>", ""), r"\n+", "\n")
+    for name, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(mark))
+    return F.regexp_replace(text, r"^\n|\n$", "")
+
+
+def between_anchors(streams, anchors, key: str, text: str = "text"):
+    """key, name, part: of streams (key, text) with empty anchors (key, name, place), the text from each anchor to the next one,
+    which isn't part of it; the last runs to the end. C31."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(key).orderBy("place", "name")
+    spans = anchors.withColumn("stop", F.lead("place").over(w)).join(streams.select(key, text), key)
+    stop = F.coalesce("stop", F.length(text))
+    return spans.select(key, "name", F.substring(text, (F.col("place") + 1).cast("int"), (stop - F.col("place")).cast("int")).alias("part"))

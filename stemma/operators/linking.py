@@ -36,8 +36,8 @@ def detect(streams: DataFrame, aliases: DataFrame, key: str, text: str = "text")
 
 
 def fold(name: str) -> Column:
-    """Case folded, without a final stop. C24."""
-    return F.rtrim(F.lower(name), F.lit("."))
+    """Without a final stop, in a collation to which case, accents and compatible forms are alike. C24."""
+    return F.collate(F.rtrim(name, F.lit(".")), "UNICODE_CI_AI")
 
 
 def identify(catalog: DataFrame, names: DataFrame) -> DataFrame:
@@ -144,8 +144,13 @@ def segment_errors(segments: DataFrame) -> DataFrame:
 
 
 def paired_milestones(marks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc, id, start, stop of spans; doc, id, error) from marks (doc, id, kind start or end, place). S31."""
+    """(doc, id, start, stop of spans; doc, id, error) from marks (doc, id, kind start or end, place): repeated,
+    lone and reversed marks are errors, and so is a span that another one cuts or that begins inside another: spans follow
+    each other. S31."""
     by = marks.groupBy("doc", "id").agg(F.count(F.when(F.col("kind") == "start", 1)).alias("s"), F.count(F.when(F.col("kind") == "end", 1)).alias("e"), F.min(F.when(F.col("kind") == "start", F.col("place"))).alias("start"), F.max(F.when(F.col("kind") == "end", F.col("place"))).alias("stop"))
     error = F.when((F.col("s") > 1) | (F.col("e") > 1), "duplicate").when(F.col("e") == 0, "unclosed").when(F.col("s") == 0, "unmatched").when(F.col("stop") < F.col("start"), "reversed")
     by = by.withColumn("error", error)
+    reach = Window.partitionBy("doc").orderBy("start", "stop", "id").rowsBetween(Window.unboundedPreceding, -1)
+    good = by.where("error is null").withColumn("error", F.when(F.max("stop").over(reach) > F.col("start"), "nested"))
+    by = by.where("error is not null").unionByName(good)
     return by.where("error is null").select("doc", "id", "start", "stop"), by.where("error is not null").select("doc", "id", "error")

@@ -43,6 +43,17 @@ def reconcile(intents: DataFrame, receipts: DataFrame, reverts: DataFrame) -> Da
     return out.select("operation", F.when(F.col("done").isNull(), "pending").when(F.col("back"), "undone").otherwise("applied").alias("state"))
 
 
+def scheme_targets(entries: DataFrame, asked: DataFrame) -> DataFrame:
+    """id, targets of ranges (id, scheme, start_key, end_key) in schemes (scheme, key, ordinal, target): the targets from one
+    key to the other, each once, in the order in which they are first named; null where a key is missing or they are reversed. L30."""
+    place = entries.select("scheme", "key", "ordinal").distinct()
+    ends = asked.join(place.toDF("scheme", "start_key", "lo"), ["scheme", "start_key"], "left").join(place.toDF("scheme", "end_key", "hi"), ["scheme", "end_key"], "left")
+    inside = ends.where("lo <= hi").join(entries.select("scheme", "ordinal", "target"), "scheme").where("ordinal between lo and hi")
+    first = inside.groupBy("id", "target").agg(F.min("ordinal").alias("o"))
+    lists = first.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("o", "target"))).alias("x")).select("id", F.transform("x", lambda v: v["target"]).alias("targets"))
+    return ends.select("id").join(lists, "id", "left")
+
+
 def scheme_range(entries: DataFrame, first: int, last: int) -> DataFrame:
     """scheme, n_targets between two places of each scheme (scheme, ordinal, target). L30."""
     return entries.where(F.col("ordinal").between(first, last)).groupBy("scheme").agg(F.countDistinct("target").alias("n_targets"))
@@ -54,6 +65,55 @@ def acceptance(pages: DataFrame) -> DataFrame:
     return by.select("candidate", F.when(F.col("f"), "rejected").when(F.col("s"), "pending-review").otherwise("accepted").alias("decision"))
 
 
+def page_flags(pages: DataFrame, n_pages: int) -> DataFrame:
+    """candidate, code, fatal: what the pages (candidate, page from 0, content, reading_order, evidence) of a document of
+    n_pages break. Content is satisfactory, blank-confirmed, unreadable or unverified. L31."""
+    page = F.array_compact(F.array(
+        F.when(F.col("content") == "unreadable", F.struct(F.lit("insufficient-content").alias("code"), F.lit(True).alias("fatal"))),
+        F.when(F.col("reading_order") == "material-failure", F.struct(F.lit("material-reading-order-failure").alias("code"), F.lit(True).alias("fatal"))),
+        F.when(F.col("content").isin("satisfactory", "blank-confirmed") & (F.coalesce("evidence", F.lit("")) == ""), F.struct(F.lit("missing-quality-evidence").alias("code"), F.lit(False).alias("fatal"))),
+        F.when((F.col("content") == "unverified") | ((F.col("content") != "blank-confirmed") & (F.col("reading_order") == "unverified")), F.struct(F.lit("quality-unverified").alias("code"), F.lit(False).alias("fatal"))),
+    ))
+    own = pages.select("candidate", F.explode(page).alias("x")).select("candidate", "x.code", "x.fatal")
+    by = pages.groupBy("candidate").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("page").alias("d"), F.countDistinct(F.when(F.col("page").between(0, n_pages - 1), F.col("page"))).alias("inside"))
+    whole = F.array_compact(F.array(F.when((F.col("n") > F.col("d")) | (F.col("inside") < F.col("d")), "invalid-page-coverage"), F.when(F.col("inside") < n_pages, "missing-pages")))
+    return own.unionByName(by.select("candidate", F.explode(whole).alias("code")).withColumn("fatal", F.lit(True)))
+
+
+def page_decisions(pages: DataFrame, n_pages: int) -> DataFrame:
+    """candidate, decision of all candidates that have pages. L31."""
+    flags = page_flags(pages, n_pages).groupBy("candidate").agg(F.max("fatal").alias("f"))
+    both = pages.select("candidate").distinct().join(flags, "candidate", "left")
+    return both.select("candidate", F.when(F.col("f"), "rejected").when(F.col("f").isNotNull(), "pending-review").otherwise("accepted").alias("decision"))
+
+
+def section_role(kind: Column, attribute: Column, level: Column) -> Column:
+    """verse, chapter, book or null, from a unit's type, its type attribute (a surah is a chapter) and a heading's level. P12."""
+    k, a = F.lower(kind), F.lower(F.coalesce(attribute, F.lit("")))
+    role = F.when((k == "verse") | (a == "verse"), "verse").when((k == "chapter") | (a == "chapter"), "chapter").when((k == "book") | (a == "book"), "book")
+    return role.when(a == "surah", "chapter").when((k == "section") & (level == "1"), "chapter")
+
+
+#: Categories from the least structure to the most.
+CATEGORIES = ("document", "book", "religious")
+
+
+def settled_category(found: DataFrame, highest: str = "religious") -> DataFrame:
+    """corpus, category, warning of rows (corpus, detected, requested): a request for at most the structure that is there
+    holds; one for more is lowered, with a warning. L33."""
+    rank = lambda c: F.array_position(F.array(*[F.lit(x) for x in CATEGORIES]), c)
+    detected = F.when(rank(F.col("detected")) > rank(F.lit(highest)), F.lit(highest)).otherwise(F.col("detected"))
+    more = F.col("requested").isNotNull() & (rank(F.col("requested")) > rank(detected))
+    return found.select("corpus", F.when(F.col("requested").isNull() | more, detected).otherwise(F.col("requested")).alias("category"), F.coalesce(more, F.lit(False)).alias("warning"))
+
+
+def required_features(section_types: list[str], section_features: list[str], value_types: dict[str, str]) -> dict[str, dict[str, str]]:
+    """type -> feature -> str or int: the labels that a corpus's own sections must have. L19."""
+    if len(section_types) != len(section_features):
+        raise ValueError("the section types and their features differ in number")
+    return {t: {f: value_types.get(f, "str")} for t, f in zip(section_types, section_features, strict=True)}
+
+
 def category(units: DataFrame) -> DataFrame:
     """corpus, category from the roles of its units: religious with verses and chapters, book with two chapters or a book. A09."""
     n = lambda r: F.count(F.when(F.col("role") == r, 1))
