@@ -17,7 +17,7 @@ crc32(doc_id) mod 5 is not 0, and SAMPLE_BYTES of their texts: in that order, a
 what its class has left is passed over. labels, lang, source and doc_id are never inputs of a score.
 
 Scale: the automaton and the model are broadcast; texts are read once more for scoring, without a shuffle,
-in slices. Learning holds the sampled texts and an integer for each of their words.
+in slices. Learning is one task, which holds the sampled texts and an integer for each of their words.
 
 Edge cases: a null or empty text has no hits and gets the score of that; an empty table gives an empty
 result; without labels of both classes every score is 0; several labels of a document count as toxic if
@@ -27,6 +27,7 @@ other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -364,10 +365,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     if not chosen:
         return Model([], [])
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    wanted = spark.createDataFrame([(i, d) for i, (d, _) in chosen.items()], f"_id {kind}, _digest long")
-    rows = texts.join(F.broadcast(wanted), ["_id", "_digest"]).groupBy("_id").agg(F.first("text").alias("text")).collect()
-    text = {r["_id"]: r["text"] for r in rows}
-    return Model([text[i] for i in chosen if i in text], [y for i, (_, y) in chosen.items() if i in text])
+    wanted = spark.createDataFrame([(i, d, y, k) for k, (i, (d, y)) in enumerate(chosen.items())], f"_id {kind}, _digest long, y int, k int")
+    rows = texts.join(F.broadcast(wanted), ["_id", "_digest"]).groupBy("k", "y").agg(F.first("text").alias("text"))
+    # one task learns: the bound above holds for its memory, and the driver gets the model alone
+    return pickle.loads(rows.repartition(1).mapInArrow(_fit, "model binary").first()["model"])
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted(r for x in batches for r in zip(*(x.column(c).to_pylist() for c in ("k", "y", "text")), strict=True))
+    if rows:
+        model = Model([t for _, _, t in rows], [y for _, y, _ in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
