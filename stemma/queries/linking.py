@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import linking as L
+from ..operators import standoff
 from ..operators import versions as V
 from ..plans.corpus import read, trade_corpus
 from . import query
@@ -48,12 +49,9 @@ def resolve_status(spark, sf_dir):
 @query("alignment_fallback", "SELECT c_custkey AS id, coalesce(s.s_suppkey, t.s_suppkey) AS target, CASE WHEN s.s_suppkey IS NOT NULL THEN 'direct' WHEN t.s_suppkey IS NOT NULL THEN 'aligned' ELSE 'none' END AS via FROM customer LEFT JOIN supplier s ON s.s_suppkey = c_custkey LEFT JOIN supplier t ON t.s_suppkey = c_custkey - 50")
 def alignment_fallback(spark, sf_dir):
     """A second chance by alignment where the edition lacks the passage."""
-    s = read(spark, sf_dir, "supplier").select("s_suppkey")
-    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    direct = c.join(s.select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("a")), "id", "left")
-    both = direct.join(s.select((F.col("s_suppkey") + 50).alias("id"), F.col("s_suppkey").alias("b")), "id", "left")
-    via = F.when(F.col("a").isNotNull(), "direct").when(F.col("b").isNotNull(), "aligned").otherwise("none")
-    return both.select("id", F.coalesce("a", "b").alias("target"), via.alias("via"))
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_suppkey").alias("target"))
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("key"))
+    return standoff.aligned(c, s, c.select("key", (F.col("key") - 50).alias("aligned")))
 
 
 @query("mapping_overlap", "SELECT a.event_id AS hit, b.event_id AS mapping FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id % 100 < b.event_id % 100 + 20 AND b.event_id % 100 < a.event_id % 100 + 5 WHERE a.event_type = 'purchase' AND b.event_type <> 'purchase'")

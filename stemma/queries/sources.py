@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import standoff
 from ..plans.corpus import read
 from ..sources import archive, markup
 from . import query
@@ -54,24 +55,24 @@ def content_digests(spark, sf_dir):
 @query("graph_rules", "SELECT 'n' || doc_id AS node, 'label:missing' AS error FROM labels WHERE quality = 0 UNION ALL SELECT 'n' || doc_id, 'parent:missing' FROM labels WHERE toxic = 1")
 def graph_rules(spark, sf_dir):
     """All errors of all entities, not only the first."""
-    rule = F.explode(F.array_compact(F.array(F.when(F.col("quality") == 0, "label:missing"), F.when(F.col("toxic") == 1, "parent:missing"))))
-    return read(spark, sf_dir, "labels").select(F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("node"), rule.alias("error"))
+    nodes = read(spark, sf_dir, "labels").withColumn("node", F.concat(F.lit("n"), F.col("doc_id").cast("string")))
+    return standoff.broken_rules(nodes, "node", {"label:missing": F.col("quality") == 0, "parent:missing": F.col("toxic") == 1})
 
 
 @query("relational_round_trip", "SELECT o_custkey AS document, string_agg(o_orderstatus, '' ORDER BY o_orderkey) AS restored FROM orders GROUP BY 1")
 def relational_round_trip(spark, sf_dir):
     """Documents exploded to rows and restored from them, in order."""
     doc = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("document")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("parts"))
-    rows = doc.select("document", F.posexplode("parts").alias("ordinal", "p")).select("document", "ordinal", "p.o_orderstatus")
-    back = rows.groupBy("document").agg(F.array_sort(F.collect_list(F.struct("ordinal", "o_orderstatus"))).alias("x"))
-    return back.select("document", F.array_join(F.transform("x", lambda v: v["o_orderstatus"]), "").alias("restored"))
+    back = standoff.restored(standoff.rows_of(doc, "document", "parts"), "document")
+    return back.select("document", F.array_join(F.transform("parts", lambda v: v["o_orderstatus"]), "").alias("restored"))
 
 
 @query("shared_anchors", "SELECT l_partkey AS start, CASE WHEN l_linenumber = 1 THEN 'position' ELSE 'anchor' END AS kind, count(*) AS n FROM lineitem GROUP BY ALL")
 def shared_anchors(spark, sf_dir):
     """A zero-length span is a position, others share an anchor for each span."""
-    kind = F.when(F.col("l_linenumber") == 1, "position").otherwise("anchor")
-    return read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("start"), kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    start = F.col("l_partkey").alias("start")
+    spans = read(spark, sf_dir, "lineitem").select(start, F.when(F.col("l_linenumber") == 1, F.col("l_partkey")).otherwise(F.col("l_partkey") + 9).alias("stop"))
+    return standoff.anchored(spans, [], "start", "stop").select("start", "kind", "n")
 
 
 @query("structure_members", "SELECT 'source' AS structure, source AS parent, doc_id AS node, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ordinal FROM documents UNION ALL SELECT 'language', lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) FROM documents")

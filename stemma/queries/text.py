@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import aggregate as A
 from ..operators import search as S
 from ..operators import structure as H
+from ..operators import standoff
 from ..plans.corpus import read, text_corpus, text_lines, text_slots, text_tokens
 from . import query
 
@@ -241,8 +242,7 @@ def set_union(spark, sf_dir):
 @query("subset_test", "SELECT o_custkey, bool_and(o_orderstatus IN ('F', 'O')) AS within FROM orders GROUP BY o_custkey")
 def subset_test(spark, sf_dir):
     """Is a set within another?"""
-    by = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("s"))
-    return by.select("o_custkey", (F.size(F.array_except("s", F.array(F.lit("F"), F.lit("O")))) == 0).alias("within"))
+    return standoff.within(read(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus", ["F", "O"])
 
 
 @query("section_rollup", "SELECT r_name, n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)")
@@ -267,8 +267,7 @@ def archive_totals(spark, sf_dir):
 @query("untouched_hash", "SELECT l_orderkey, sha256(string_agg(sha256(l_linenumber || '|' || l_partkey || '|' || l_returnflag), '' ORDER BY sha256(l_linenumber || '|' || l_partkey || '|' || l_returnflag))) AS state FROM lineitem GROUP BY l_orderkey")
 def untouched_hash(spark, sf_dir):
     """A digest of everything in a group, whatever the order it is read in."""
-    row = F.sha2(F.concat_ws("|", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), "l_returnflag"), 256)
-    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), ""), 256).alias("state"))
+    return standoff.group_state(read(spark, sf_dir, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_returnflag"])
 
 
 @query("fragment_split", "SELECT doc_id, start, substr(text, start + 1, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), length(text)) - start) AS part FROM (SELECT doc_id, text, unnest(range(0, length(text), 500)) AS start FROM documents)")

@@ -224,3 +224,20 @@ def test_required_features():
     assert V.required_features(["book", "verse"], ["title", "n"], {"n": "int"}) == {"book": {"title": "str"}, "verse": {"n": "int"}}
     with pytest.raises(ValueError):
         V.required_features(["book"], [], {})
+
+
+def test_files_arrive_as_units(spark, tmp_path):
+    from stemma.streaming import ingest
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("# One\n\ntext a\n")
+    units = ingest.unit_stream(ingest.arriving(spark, f"file://{tmp_path}/in", "*.md"), "markdown")
+
+    def run():
+        q = units.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sorted((r["type"], r["label"] or r["text"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    assert run() == [("paragraph", "text a"), ("section", "One")]
+    (tmp_path / "in" / "b.md").write_text("text b\n")
+    assert run() == [("paragraph", "text a"), ("paragraph", "text b"), ("section", "One")]  # each file once
