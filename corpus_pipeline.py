@@ -6,6 +6,12 @@ line_dedup          lines covered by later occurrences of repeated three-line wi
 near_dedup          of each group of near duplicates (five-word shingles, 80 %) one document stays
 decontaminate       documents that contain a benchmark item go
 mix                 the documents that the mix takes words of stay, with the words taken (the last stage)
+
+Edge cases: a null or empty text is neither toxic, a repeat, a copy nor a leak, and the mix takes no words of it, so it
+goes in the last stage; repeated rows are one document to line_dedup and near_dedup; rows without a doc_id stay in
+near_dedup; the mix takes as much of each of several rows that repeat doc_id, source and size; empty tables give an empty
+result; other columns pass through every stage, whatever their names (those that the last stage adds take the place of
+columns of their names).
 """
 
 from __future__ import annotations
@@ -26,11 +32,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs less their repeated passages, n_chars counted anew where a text changed."""
-    out = line_dedup.line_dedup(docs)
+    own = {c: f"__input_{c}" for c in ("n_lines", "n_removed") if c in docs.columns}
+    out = line_dedup.line_dedup(docs.withColumnsRenamed(own))
     empty = F.regexp_replace("text", SPACE, "") == ""
     out = out.where((F.col("n_removed") == 0) | ~empty)
     out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +54,12 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes words of, with size, source_size, target, taken and first_slot."""
     new = ["source_size", "target", "taken", "first_slot"]
-    taken = mixing.mix_sources(docs)[1].where("taken > 0").dropDuplicates(["doc_id", "size"]).select(F.col("doc_id").alias("__mix_id"), F.col("size").alias("__mix_size"), *new)
+    key = ["doc_id", "source", "size"]
+    mixed = mixing.mix_sources(docs)[1].groupBy(*key).agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.ceil(F.avg("taken")).alias("taken"), F.min("first_slot").alias("first_slot"))
+    mixed = mixed.where("taken > 0").select(*[F.col(c).alias(f"__mix_{c}") for c in key], *new)
     docs = docs.drop(*new).withColumn("size", n_words(F.col("text")))
-    return docs.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__mix_id")) & (F.col("size") == F.col("__mix_size"))).drop("__mix_id", "__mix_size")
+    same = F.col("doc_id").eqNullSafe(F.col("__mix_doc_id")) & F.col("source").eqNullSafe(F.col("__mix_source")) & (F.col("size") == F.col("__mix_size"))
+    return docs.join(mixed.hint("merge"), same).drop(*[f"__mix_{c}" for c in key])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
