@@ -66,3 +66,22 @@ def test_stages_on_their_own_input(spark):
 
 def test_run_gives_the_same_rows(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_stages_on_odd_rows(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n\t", "en", "a", 3), (4, "one two three four five six", "en", "b", 9), (4, "one two three four five six", "en", "b", 9), (4, "other words of one id", "en", "b", 9), (None, "no id here at all", "fr", None, None), (5, "a\nb\nc\nd\ne", "en", None, 9), (6, "a\nb\nc\nx y", "en", None, 7), (7, "word " * 30_000, "en", "c", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit("9") for c in "n_lines n_removed h y c k a b rep component first_slot taken size __x".split()})
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, SF)
+        if name == "mix":
+            assert after.where("taken <= 0").count() == 0 and after.count() > 0
+        else:
+            assert after.columns == docs.columns and after.where("n_lines <> '9' or n_removed <> '9'").count() == 0
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        if name == "near_dedup":
+            assert after.where("doc_id is null").count() == 1 and after.where("doc_id = 4").count() == 3
+        if name == "line_dedup":
+            assert {r["doc_id"]: r["text"] for r in after.where("doc_id in (5, 6)").collect()} == {5: "a\nb\nc\nd\ne", 6: "x y"}
