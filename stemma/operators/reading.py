@@ -82,12 +82,15 @@ def content_page(corpus: Corpus, passages: DataFrame, offset: int, limit: int =
 
 def inspected(corpus: Corpus, nodes: DataFrame, annotations: DataFrame | None = None) -> DataFrame:
     """corpus, node, otype, is_slot, first_slot, last_slot, ref, text, features (a map), context (the types around it, nearest
-    first) and annotation of nodes (node). annotations: node, note. R07."""
+    first; of the same slots, the deeper section first) and annotation of nodes (node). annotations: node, note. R07."""
     n = cut(corpus.nodes.join(nodes.select("node").distinct(), "node").select("corpus", "node", "otype", "first_slot", "last_slot", *(["ranges"] if "ranges" in corpus.nodes.columns else [])))
     wide = corpus.node_features.join(n.select("corpus", "node"), ["corpus", "node"], "left_semi")
     wide = wide.groupBy("corpus", "node").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", F.coalesce("value_str", F.col("value_int").cast("string")))))).alias("features"))
     above = embedding_pairs(corpus.nodes.where(F.col("otype") != corpus.slot_type).select(*n.columns), n)
-    order = F.struct((F.col("p_last_slot") - F.col("p_first_slot")).alias("span"), F.col("p_node").alias("node"), F.col("p_otype").alias("otype"))
+    # a section with the same slots as one of a level further down lies around it, not in it
+    level = lambda c: F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(t) for t in corpus.section_types]).cast("array<string>"), F.col(c)), F.lit(0)), F.lit(len(corpus.section_types) + 1))
+    above = above.withColumn("p_level", level("p_otype")).where(~F.col("p_otype").isin(corpus.section_types) | ~F.col("c_otype").isin(corpus.section_types) | (F.col("p_level") <= level("c_otype")))
+    order = F.struct((F.col("p_last_slot") - F.col("p_first_slot")).alias("span"), (-F.col("p_level")).alias("level"), F.col("p_node").alias("node"), F.col("p_otype").alias("otype"))
     chain = above.groupBy("corpus", F.col("c_node").alias("node")).agg(F.array_sort(F.collect_list(order)).alias("c")).select("corpus", "node", F.transform("c", lambda x: x["otype"]).alias("context"))
     heads = headings(corpus, n.select("corpus", "node", "first_slot"))
     refs = heads.select("corpus", "node", section_ref(corpus.section_types).alias("ref"))
