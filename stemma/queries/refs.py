@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import refs as R
 from ..operators import reference as Q
 from ..plans.corpus import read, trade_corpus
+from ..plans.tables import kept
 from . import query
 from .trade import sql
 
@@ -80,8 +81,9 @@ def _passages(spark, sf_dir, asked):
     c = _three(spark, sf_dir)
     u = asked.join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     ref = F.concat("r_name", F.lit(":"), "n_name", F.lit(":"), F.col("c_custkey").cast("string"))
-    found = Q.resolve(c, u.select(F.col("c_custkey").cast("long").alias("id"), R.parse(ref).alias("r")), "1").where("status = 'resolved'")
-    return node_text(c, c.nodes.join(found.select("node", "id"), "node")).join(found.select("node", "id"), "node").select("id", "text")
+    found = kept(Q.resolve(c, u.select(F.col("c_custkey").cast("long").alias("id"), R.parse(ref).alias("r")), "1").where("status = 'resolved'").select("node", "id"), "found")
+    texts = node_text(c, kept(c.nodes.join(found.select("node").distinct(), "node"), "passages"))
+    return texts.join(found, "node").select("id", "text")
 
 
 @query("passages_by_reference", sql("SELECT c_custkey AS id, string_agg(l_returnflag, ' ' ORDER BY slot) AS text FROM li GROUP BY c_custkey"))
