@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.corpus import Corpus
+from ..plans.tables import kept
 from .structure import anchored_children
 
 
@@ -29,7 +30,8 @@ def section_nodes(corpus: Corpus) -> DataFrame:
             up = above.select("corpus", F.col("path").alias("up"), F.col("first_slot").alias("s_first"), F.col("last_slot").alias("s_last")).withColumn("bucket", F.explode(F.sequence(F.expr(f"s_first div {width}"), F.expr(f"s_last div {width}"))))
             here = here.withColumn("bucket", F.expr(f"first_slot div {width}")).join(up, ["corpus", "bucket"]).where("first_slot between s_first and s_last")
             here = here.withColumn("path", F.concat("up", F.lit("\u001f"), "label"))
-        above = here.select("corpus", "node", "first_slot", "last_slot", "path").persist()
+        above = here.select("corpus", "node", "first_slot", "last_slot", "path")
+        above = kept(above, f"paths-{i}")
         first = first_by_heading(above, ["path"]).withColumns({"otype": F.lit(level), "depth": F.lit(i + 1)})
         out = first if out is None else out.unionByName(first)
     return out
@@ -39,14 +41,15 @@ def resolve(corpus: Corpus, refs: DataFrame, version: str | None = None) -> Data
     """refs (id, r: a parsed reference) with node and status: resolved, invalid, version_mismatch, section_not_found,
     type_not_in_section or index_out_of_range; a range gives a row for each node."""
     sections = section_nodes(corpus).select(F.col("path").alias("_path"), F.col("node").alias("section_node"))
-    asked = refs.withColumn("_path", F.array_join("r.sections", "\u001f")).join(sections, "_path", "left")
-    parents = corpus.nodes.where(F.col("otype").isin(corpus.section_types)).select("corpus", "node", "otype", "first_slot", "last_slot")
-    # the corpus has few types, while references may name any number of others
-    asked_types = refs.select(F.col("r.target_type").alias("otype")).distinct()
-    wanted = [r[0] for r in corpus.nodes.select("otype").distinct().join(asked_types, "otype", "left_semi").collect()]
+    asked = kept(refs.withColumn("_path", F.array_join("r.sections", "\u001f")).join(sections, "_path", "left").withColumn("_type", F.col("r.target_type")), "asked")
+    # only the sections and types that are asked for are numbered: the corpus has few types, references may name any others
+    inside = asked.where("_type is not null and section_node is not null").select(F.col("section_node").alias("node"), F.col("_type").alias("otype"))
+    parents = corpus.nodes.where(F.col("otype").isin(corpus.section_types)).join(inside.select("node").distinct(), "node", "left_semi").select("corpus", "node", "otype", "first_slot", "last_slot")
+    wanted = [r[0] for r in corpus.nodes.select("otype").distinct().join(inside.select("otype").distinct(), "otype", "left_semi").collect()]
     kids = anchored_children(parents, corpus.nodes.where(F.col("otype").isin(wanted)), 256).select(F.col("p_node").alias("section_node"), F.col("c_otype").alias("_type"), F.col("c_node").alias("kid"), "index")
+    kids = kept(kids, "kids")
     sizes = kids.groupBy("section_node", "_type").agg(F.count(F.lit(1)).alias("n_kids"))
-    asked = asked.withColumn("_type", F.col("r.target_type")).join(sizes, ["section_node", "_type"], "left")
+    asked = asked.join(sizes, ["section_node", "_type"], "left")
     status = (
         F.when(F.col("r.error").isNotNull(), "invalid")
         .when(F.col("r.version").isNotNull() & (F.col("r.version") != F.lit(version)), "version_mismatch")
